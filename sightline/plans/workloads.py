@@ -1,6 +1,6 @@
 """All named queries."""
 
-from sightline.plans import workloads_core  # noqa: F401
+from sightline.plans import workloads_core, workloads_more  # noqa: F401
 from sightline.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -167,7 +167,7 @@ def date_path(spark, sf):
         .when(k == 2, F.date_format(at, "/yyyy/MM/")).otherwise("/2031/13/45/")
     )
     part = F.when(k == 1, F.regexp_replace(part, "-$", "/")).otherwise(part)
-    link = F.concat(F.lit("https://news.example"), part, F.col("o_orderkey"))
+    link = F.concat(F.lit("https://news.example"), part, F.lit("p"), F.col("o_orderkey"))
     e = dates.url_path_date(link, as_of())
     return table(spark, sf, "orders").select("o_orderkey", e.alias("e")).select(
         "o_orderkey", F.date_format("e.date", "yyyy-MM-dd").alias("date"), F.col("e.confidence"), F.col("e.source"))
