@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightline.functions import dates, urls
-from sightline.functions.columns import SPACES, blank_to_null, let, strip
+from sightline.functions.columns import SPACES, blank_to_null, first_nonblank, let, strip
 
 # --- Fixed values: where a page states its date, with the trust each place gets -----------------------
 # (tag, attribute, value, evidence name, confidence)
@@ -75,9 +75,10 @@ def tags(html: Column, name: str) -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\b[^<]*)"), F.lit(1))
 
 
-def visible_text(html: Column) -> Column:
+def visible_text(html: Column, stripped: bool = False) -> Column:
     """Text of a document, each piece stripped, joined by one space."""
-    pieces = F.transform(F.split(without_code(html), "<[^>]*>"), lambda p: F.trim(p, F.lit(SPACES)))
+    body = html if stripped else without_code(html)
+    pieces = F.transform(F.split(body, "<[^>]*>"), lambda p: F.trim(p, F.lit(SPACES)))
     return unescape(F.array_join(F.filter(pieces, lambda p: p != ""), " "))
 
 
@@ -99,31 +100,27 @@ def title_tag(html: Column) -> Column:
 
 def title(html: Column, fallback: Column) -> Column:
     """og:title, else the title tag, else the fallback; 200 characters."""
-    body = without_code(html)
-    found = F.coalesce(blank_to_null(strip(meta_content(body, "og:title"))), blank_to_null(title_tag(body)))
+    found = let(without_code(html), lambda body: first_nonblank(
+        strip(meta_content(body, "og:title")), title_tag(body)))
     return F.coalesce(F.substring(found, 1, 200), fallback)
 
 
 def caption(html: Column) -> Column:
     """og:description, else the description, else the body text; 400 characters."""
-    body = without_code(html)
-    stated = F.coalesce(
-        meta_content(body, "og:description"), meta_content(body, "description", ("name",)), F.lit("")
-    )
-    text = F.regexp_replace(
-        visible_text(F.regexp_replace(body, r"(?is)<(nav|footer|header)\b.*?</\1\s*>", " ")), r"\s+", " "
-    )
-    return F.substring(F.coalesce(blank_to_null(F.substring(stated, 1, 400)), text), 1, 400)
+    def read(body):
+        stated = F.coalesce(
+            meta_content(body, "og:description"), meta_content(body, "description", ("name",)), F.lit(""))
+        shown = F.regexp_replace(body, r"(?is)<(nav|footer|header)\b.*?</\1\s*>", " ")
+        return first_nonblank(stated, F.regexp_replace(visible_text(shown, stripped=True), r"\s+", " "))
+
+    return F.coalesce(F.substring(let(without_code(html), read), 1, 400), F.lit(""))
 
 
 def title_v1(html: Column, url: Column) -> Column:
     """Earlier order: the title tag, then og:title, then the network location."""
-    body = without_code(html)
-    return F.substring(
-        F.coalesce(
-            blank_to_null(title_tag(body)), blank_to_null(strip(meta_content(body, "og:title"))), urls.netloc_of(url)
-        ), 1, 200,
-    )
+    found = let(without_code(html), lambda body: first_nonblank(
+        title_tag(body), strip(meta_content(body, "og:title"))))
+    return F.substring(F.coalesce(found, urls.netloc_of(url)), 1, 200)
 
 
 # ------------------------------------------------------------------------------------- JSON-LD
@@ -144,27 +141,34 @@ def jsonld_items(html: Column, depth: int = JSONLD_DEPTH) -> Column:
     )
 
     def opened(items):
-        lists = F.flatten(F.transform(items, _variant_items))
-        return F.concat(lists, F.flatten(F.transform(lists, lambda v: F.coalesce(
-            F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>")
-        ))))
+        return let(F.flatten(F.transform(items, _variant_items)), lambda lists: F.concat(
+            lists, F.flatten(F.transform(lists, lambda v: F.coalesce(
+                F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))))))
 
     for _ in range(depth):
         parsed = opened(parsed)
     return parsed
 
 
+def _read_stated(stated: Column, as_of: Column) -> Column:
+    """``array<evidence>`` from ``array<struct<stated, confidence, source>>``: one reader for all places."""
+    return F.array_compact(F.transform(
+        F.filter(stated, lambda s: s["stated"].isNotNull()),
+        lambda s: dates.evidence(dates.parse_date(s["stated"], as_of), s["confidence"], s["source"]),
+    ))
+
+
 def jsonld_date_evidence(html: Column, as_of: Column) -> Column:
     """``array<evidence>`` of the dates JSON-LD objects state. Nothing is parsed on a page without any."""
     def of_item(item):
         return F.array(*[
-            dates.evidence(
-                dates.parse_date(F.try_variant_get(item, f"$.{key}", "string"), as_of), conf, f"jsonld:{key}"
-            ) for key, conf in JSONLD_DATES
+            F.struct(F.try_variant_get(item, f"$.{key}", "string").alias("stated"), F.lit(conf).alias("confidence"),
+                     F.lit(f"jsonld:{key}").alias("source"))
+            for key, conf in JSONLD_DATES
         ])
 
     none = F.array().cast(f"array<{dates.EVIDENCE}>")
-    found = F.array_distinct(F.array_compact(F.flatten(F.transform(jsonld_items(html), of_item))))
+    found = F.array_distinct(_read_stated(F.flatten(F.transform(jsonld_items(html), of_item)), as_of))
     return F.when(html.contains("application/ld+json"), found).otherwise(none)
 
 
@@ -204,11 +208,11 @@ def tag_date_evidence(html: Column, as_of: Column) -> Column:
         return test
 
     def rules(found):
-        return F.array_compact(F.array(*[
-            dates.evidence(
-                dates.parse_date(F.get(F.filter(found, fits(tag, attr, value)), F.lit(0))["stated"], as_of), conf, name
-            ) for tag, attr, value, name, conf in META_DATES
-        ]))
+        return _read_stated(F.array(*[
+            F.struct(F.get(F.filter(found, fits(tag, attr, value)), F.lit(0))["stated"].alias("stated"),
+                     F.lit(conf).alias("confidence"), F.lit(name).alias("source"))
+            for tag, attr, value, name, conf in META_DATES
+        ]), as_of)
 
     none = F.array().cast(f"array<{dates.EVIDENCE}>")
     return let(described, lambda found: F.when(F.size(found) > 0, rules(found)).otherwise(none))
@@ -217,10 +221,9 @@ def tag_date_evidence(html: Column, as_of: Column) -> Column:
 def text_date_evidence(html: Column, as_of: Column, window: int = TEXT_DATE_WINDOW) -> Column:
     """The first readable date in the opening text: the last resort of a page that states none."""
     def search(text):
-        return F.coalesce(*[
-            dates.parse_date(F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " "), as_of)
-            for p in TEXT_DATE_PATTERNS
-        ])
+        seen = F.array(*[F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " ") for p in TEXT_DATE_PATTERNS])
+        return F.get(F.array_compact(F.transform(
+            F.filter(seen, lambda s: s != ""), lambda s: dates.parse_date(s, as_of))), F.lit(0))
 
     date = let(F.substring(visible_text(html), 1, window), search)
     return dates.evidence(date, TEXT_DATE_CONFIDENCE, "text:pattern_match")
@@ -242,14 +245,13 @@ def html_date_evidence(html: Column, as_of: Column) -> Column:
 def candidate_images(html: Column, base: Column) -> Column:
     """Image links of a page in priority order: social meta tags, JSON-LD image, img tags that are not
     declared tiny. Absolute, no data links, no vector files, no repeats."""
-    body = without_code(html)
-    metas = tags(body, "meta")
-
-    def contents(attr, key):
+    def contents(metas, attr, key):
         keyed = F.filter(metas, lambda t: F.coalesce(attribute(t, attr) == key, F.lit(False)))
         return F.transform(keyed, lambda t: attribute(t, "content"))
 
-    social = F.concat(*[contents(attr, key) for key in SOCIAL_IMAGE_KEYS for attr in ("property", "name")])
+    def social(body):
+        return let(tags(body, "meta"), lambda metas: F.concat(*[
+            contents(metas, attr, key) for key in SOCIAL_IMAGE_KEYS for attr in ("property", "name")]))
 
     def json_images(item):
         listed = F.try_variant_get(item, "$.image", "array<variant>")
@@ -275,12 +277,13 @@ def candidate_images(html: Column, base: Column) -> Column:
         tiny = ((w != 0) & (w < MIN_IMAGE_SIDE)) | ((h != 0) & (h < MIN_IMAGE_SIDE))
         return ~(readable & tiny)
 
-    shown = F.transform(F.filter(tags(body, "img"), kept), lambda t: F.coalesce(
-        blank_to_null(attribute(t, "src")), blank_to_null(attribute(t, "data-src")),
-        blank_to_null(attribute(t, "data-original")),
-    ))
+    def shown(body):
+        return F.transform(F.filter(tags(body, "img"), kept), lambda t: first_nonblank(
+            attribute(t, "src"), attribute(t, "data-src"), attribute(t, "data-original")))
+
     found = F.filter(
-        F.array_compact(F.concat(social, structured, shown)), lambda u: (u != "") & ~u.startswith("data:")
+        F.array_compact(let(without_code(html), lambda body: F.concat(social(body), structured, shown(body)))),
+        lambda u: (u != "") & ~u.startswith("data:"),
     )
     absolute = F.transform(found, lambda u: urls.resolve_link(u, base))
     return F.array_distinct(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import dates, html as H, urls
-from sightline.functions.columns import blank_to_null, let
+from sightline.functions.columns import blank_to_null, first_nonblank, let
 
 # --- Fixed values ----------------------------------------------------------------------------------
 CORROBORATION = 0.04
@@ -247,8 +247,6 @@ def first_hit_date(url: Column, html: Column) -> Column:
     ``struct<published_at, confidence, evidence>``; places in order: article:published_time, JSON-LD,
     ten selectors, the path, the opening text.
     """
-    body = H.without_code(html)
-
     def hit(value, confidence, name):
         return let(parse_date_v1(value), lambda d: F.when(d.isNotNull(), F.struct(
             F.date_trunc("second", d).alias("published_at"), F.lit(float(confidence)).alias("confidence"),
@@ -264,32 +262,34 @@ def first_hit_date(url: Column, html: Column) -> Column:
         F.date_trunc("second", d).alias("published_at"), F.lit(0.90).alias("confidence"),
         F.lit("jsonld:datePublished").alias("evidence"),
     )))
-    times = H.tags(body, "time")
-
-    def time_value(with_attribute):
-        fit = F.filter(times, lambda t: t.rlike(rf"(?is)^<[^>]*\s{with_attribute}(?=[\s=/>])"))
-        first = F.get(fit, F.lit(0))
-        return F.coalesce(blank_to_null(H.attribute(first, "datetime")), F.regexp_extract(first, r"(?s)>(.*)$", 1))
-
-    item_tag = F.regexp_extract(body, r"(?is)(<[a-z][a-z0-9]*\s[^<>]*itemprop\s*=\s*[\"']?datePublished[^<]*)", 1)
-    item_value = F.coalesce(
-        blank_to_null(H.attribute(item_tag, "content")), blank_to_null(H.attribute(item_tag, "datetime")),
-        F.regexp_extract(item_tag, r"(?s)>(.*)$", 1),
-    )
     path = F.concat_ws("-", *[
         F.lpad(F.regexp_extract(url, r"/(\d{4})/(\d{1,2})/(\d{1,2})/", i), n, "0") for i, n in ((1, 4), (2, 2), (3, 2))
     ])
     in_path = F.when(url.rlike(r"/\d{4}/\d{1,2}/\d{1,2}/"), path)
-    text = F.substring(H.visible_text(html), 1, V1_TEXT_WINDOW)
-    return F.coalesce(
-        hit(H.meta_content(body, "article:published_time"), 0.95, "meta:article:published_time"),
-        jsonld,
-        *[hit(H.meta_content(body, value, (attr,)), conf, name) for attr, value, name, conf in V1_META],
-        hit(time_value("datetime"), 0.75, "time:datetime"),
-        hit(time_value("pubdate"), 0.75, "time:pubdate"),
-        hit(item_value, 0.70, "itemprop:datePublished"),
-        hit(in_path, 0.65, "url:path_date"),
-        let(text, lambda t: F.coalesce(*[
-            hit(blank_to_null(F.regexp_extract(t, p, 1)), 0.50, "text:pattern_match") for p in V1_TEXT_PATTERNS
-        ])),
-    )
+
+    def time_value(times, with_attribute):
+        fit = F.filter(times, lambda t: t.rlike(rf"(?is)^<[^>]*\s{with_attribute}(?=[\s=/>])"))
+        return let(F.get(fit, F.lit(0)), lambda t: first_nonblank(
+            H.attribute(t, "datetime"), F.regexp_extract(t, r"(?s)>(.*)$", 1)))
+
+    def item_value(body):
+        tag = F.regexp_extract(body, r"(?is)(<[a-z][a-z0-9]*\s[^<>]*itemprop\s*=\s*[\"']?datePublished[^<]*)", 1)
+        return let(tag, lambda t: first_nonblank(
+            H.attribute(t, "content"), H.attribute(t, "datetime"), F.regexp_extract(t, r"(?s)>(.*)$", 1)))
+
+    def walk(body):
+        times = H.tags(body, "time")
+        return F.coalesce(
+            hit(H.meta_content(body, "article:published_time"), 0.95, "meta:article:published_time"),
+            jsonld,
+            *[hit(H.meta_content(body, value, (attr,)), conf, name) for attr, value, name, conf in V1_META],
+            hit(time_value(times, "datetime"), 0.75, "time:datetime"),
+            hit(time_value(times, "pubdate"), 0.75, "time:pubdate"),
+            hit(item_value(body), 0.70, "itemprop:datePublished"),
+            hit(in_path, 0.65, "url:path_date"),
+            let(F.substring(H.visible_text(body, stripped=True), 1, V1_TEXT_WINDOW), lambda t: F.coalesce(*[
+                hit(blank_to_null(F.regexp_extract(t, p, 1)), 0.50, "text:pattern_match") for p in V1_TEXT_PATTERNS
+            ])),
+        )
+
+    return let(H.without_code(html), walk)

@@ -8,11 +8,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors
-from sightline.operators.skew import salted_join, top_rows
+from sightline.operators.skew import salted_join, spread, top_rows
 
 # --- Fixed values ----------------------------------------------------------------------------------
 SAME_PICTURE = 8
@@ -21,6 +22,7 @@ NEAREST_DEFAULT, NEAREST_SIMILARITY = 5, 0.90
 NEWEST_ROWS = 10_000
 # ---------------------------------------------------------------------------------------------------
 BLOCK_ROWS = 512
+BLOCKS_PER_SALT = 64
 PIVOTS = 32
 
 
@@ -74,7 +76,7 @@ def hash_pairs(queries: DataFrame, index: DataFrame, distance: int, index_rows:
     n = slice_plan(distance, index_rows) if index_rows else 4
     m = distance // n
     cuts = _slices(n)
-    probes = queries.select("kind", F.col("hash").alias("query_hash")).distinct().select(
+    probes = spread(queries.select("kind", F.col("hash").alias("query_hash")).distinct(), "query_hash").select(
         "kind", "query_hash", F.inline(F.flatten(F.array(*[
             _neighbours(F.col("query_hash"), no, shift, width, m) for no, (shift, width) in enumerate(cuts)
         ])))
@@ -97,7 +99,8 @@ def hash_pairs(queries: DataFrame, index: DataFrame, distance: int, index_rows:
 
 
 def _neighbours(value: Column, no: int, shift: int, width: int, m: int) -> Column:
-    masks = F.array(*[F.lit(x).cast("bigint") for x in _flips(width, m)])
+    # One constant: Catalyst folds the split and the cast away.
+    masks = F.split(F.lit(",".join(map(str, _flips(width, m)))), ",").cast("array<bigint>")
     own = _slice_of(value, shift, width)
     return F.transform(masks, lambda mask: F.struct(F.lit(no).alias("slice_no"), own.bitwiseXOR(mask).alias("slice")))
 
@@ -140,18 +143,6 @@ def _pivots(index: DataFrame, n: int) -> np.ndarray:
     return _unit(np.array([r["embedding"] for r in rows], dtype="float64")) if rows else np.zeros((0, 1))
 
 
-def _packed(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
-    """Rows of one cell packed into blocks of about :data:`BLOCK_ROWS` vectors; a crowded cell simply has
-    more blocks, so no group grows with the data. ``blocks`` is the cell's block count."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
-    # Cells number at most pivots x angle buckets: a bounded table.
-    return df.join(F.broadcast(counts), keys).groupBy(
-        *keys, F.pmod(F.xxhash64(id_col), F.col("blocks")).cast("int").alias("block")
-    ).agg(
-        F.first("blocks").alias("blocks"), F.collect_list(F.struct(F.col(id_col).alias("id"), "embedding")).alias("rows")
-    )
-
-
 def nearest(
     queries: DataFrame, index: DataFrame, k: int = NEAREST_DEFAULT, min_similarity: float = NEAREST_SIMILARITY,
     probe_cells: int | None = None, exclude_self: bool = False, fold_copies: bool = True,
@@ -201,47 +192,67 @@ def nearest(
             ])
         return pd.Series(out)
 
-    held = kept.withColumn("p", place("embedding")).select("media_hash", "embedding", "p.cell", "p.ring")
-    blocks = _packed(held, "media_hash", ["cell", "ring"])
-    layout = blocks.groupBy("cell", "ring").agg(F.max("blocks").alias("held_blocks"))
+    only = F.struct(F.lit(0).alias("cell"), F.lit(0).alias("ring"))
+    placed, probed = (place("embedding"), F.explode(probe("embedding"))) if n > 1 else (only, only)
+    cell = ["cell", "ring"]
+    held = kept.withColumn("p", placed).select("media_hash", "embedding", "p.cell", "p.ring")
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).withColumn(
-        "p", F.explode(probe("embedding"))
+        "p", probed
     ).select("query_id", "embedding", "p.cell", "p.ring")
+    held_cells, asked_cells = _cells(held, "held_blocks"), _cells(asked, "asked_blocks")
     # Probes of empty rings end here, before anything is packed.
-    live = asked.join(F.broadcast(layout), ["cell", "ring"])
-    batches = _packed(live.drop("held_blocks"), "query_id", ["cell", "ring"]).join(
-        F.broadcast(layout), ["cell", "ring"]
-    ).select(
-        "cell", "ring", F.col("block").alias("batch"), F.col("rows").alias("asked"),
-        F.explode(F.sequence(F.lit(0), F.col("held_blocks") - 1)).alias("block"),
-    )
-    met = salted_join(
-        batches, blocks.select("cell", "ring", "block", F.col("rows").alias("held")), ["cell", "ring", "block"],
-        spread=["batch"], rows_per_salt=64,
-    ).select("asked", "held")
-    id_type = dict(index.dtypes)["media_hash"]
-    query_type = dict(queries.dtypes)["query_id"]
-
-    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for asked_rows, held_rows in zip(batch["asked"], batch["held"]):
-                q_ids = np.array([r["id"] for r in asked_rows], dtype=object)
-                h_ids = np.array([r["id"] for r in held_rows], dtype=object)
-                q = _unit(np.stack([np.asarray(r["embedding"], dtype="float64") for r in asked_rows]))
-                h = _unit(np.stack([np.asarray(r["embedding"], dtype="float64") for r in held_rows]))
+    layout = F.broadcast(held_cells.join(asked_cells, cell).withColumn(
+        "salts", F.ceil(F.col("asked_blocks") / BLOCKS_PER_SALT).cast("int")))
+    key = [*cell, "block", "salt"]
+    # Every block of vectors meets every batch of queries of its ring; a block asked by very many batches
+    # is repeated per salt and the batches are dealt out.
+    blocks = _packed(held.join(layout, cell), "media_hash", "held_blocks", ["asked_blocks", "salts"]).select(
+        *cell, "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rows").alias("held"))
+    batches = _packed(asked.join(layout, cell), "query_id", "asked_blocks", ["held_blocks", "salts"]).select(
+        *cell, F.pmod(F.col("block"), F.col("salts")).alias("salt"), F.col("rows").alias("asked"),
+        F.explode(F.sequence(F.lit(0), F.col("held_blocks") - 1)).alias("block"))
+    met = spread(batches, *key).join(spread(blocks, *key), key).select("asked", "held")
+    id_type, query_type = dict(index.dtypes)["media_hash"], dict(queries.dtypes)["query_id"]
+
+    def multiply(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in tables:
+            for i in range(t.num_rows):
+                q_ids, q = _matrix(t.column("asked")[i])
+                h_ids, h = _matrix(t.column("held")[i])
                 sims = np.round(q @ h.T, 12)
                 qi, hi = np.nonzero(sims >= min_similarity)
                 out = pd.DataFrame({"query_id": q_ids[qi], "media_hash": h_ids[hi], "similarity": sims[qi, hi]})
                 if exclude_self:
                     out = out[out["query_id"] != out["media_hash"]]
                 out = out.sort_values(["query_id", "similarity", "media_hash"], ascending=[True, False, True])
-                yield out.groupby("query_id", sort=False).head(k)
+                yield pa.RecordBatch.from_pandas(out.groupby("query_id", sort=False).head(k), preserve_index=False)
 
-    # A packed row is large; a few per Arrow batch are enough work for a matrix product.
-    found = met.mapInPandas(multiply, f"query_id {query_type}, media_hash {id_type}, similarity double")
+    found = met.mapInArrow(multiply, f"query_id {query_type}, media_hash {id_type}, similarity double")
     return top_rows(found, ["query_id"], [F.desc("similarity"), F.col("media_hash")], k, "rank")
 
 
+def _cells(df: DataFrame, name: str) -> DataFrame:
+    """Block counts per cell and ring: a bounded table, at most pivots x angle rings."""
+    return df.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+
+
+def _packed(df: DataFrame, id_col: str, blocks: str, carried: list[str]) -> DataFrame:
+    """Rows of one ring packed into blocks of about :data:`BLOCK_ROWS` vectors; a crowded ring simply has
+    more blocks, so no group grows with the data."""
+    return df.groupBy(
+        "cell", "ring", F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int").alias("block")
+    ).agg(
+        *[F.first(c).alias(c) for c in carried], F.collect_list(F.struct(F.col(id_col).alias("id"), "embedding")).alias("rows"))
+
+
+def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of one packed block, read from the Arrow buffers."""
+    values = rows.values
+    vectors_ = values.field("embedding")
+    flat = vectors_.flatten().to_numpy(zero_copy_only=False).astype("float64")
+    return values.field("id").to_numpy(zero_copy_only=False), _unit(flat.reshape(len(vectors_), -1))
+
+
 def newest(index: DataFrame, rows: int = NEWEST_ROWS) -> DataFrame:
     """The bounded window of the portable index scan, for callers whose results depend on it."""
     return index.filter(F.col("embedding").isNotNull()).orderBy(F.desc("created_at"), F.col("media_hash")).limit(rows)

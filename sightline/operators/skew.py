@@ -55,3 +55,10 @@ def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: in
 
     w = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Hash-partitions into the session's full shuffle width. Adaptive execution sizes partitions by
+    bytes; before a step that multiplies rows or work per byte, that would leave it to one task."""
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *columns)

@@ -145,7 +145,8 @@ scored AS (
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as sightings: an order is an investigation, the supplier is the site."""
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate"
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate",
+        "l_extendedprice",
     )
     level = F.when(F.col("l_returnflag") == "R", "page").when(F.col("l_returnflag") == "A", "platform").when(
         F.col("l_linestatus") == "F", "engine_claim").otherwise("none")
@@ -158,7 +159,8 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.when(date_level != "none", F.col("l_shipdate") + F.make_interval(hours=(F.col("l_suppkey") % 24).cast("int")))
     return li.select(
         F.concat(F.lit("o"), F.col("l_orderkey")).alias("inv_id"),
-        (F.col("l_linenumber").cast("bigint") * 10000000000 + F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("pos"),
+        (F.col("l_linenumber").cast("bigint") * 100000000000000000 + F.col("l_partkey") % 100000 * 1000000000000
+         + F.col("l_suppkey") % 10000 * 100000000 + F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("pos"),
         url.alias("url"), url.alias("canonical"), F.concat(F.lit("T"), F.col("l_partkey") % 50).alias("title"),
         F.lit(None).cast("string").alias("caption"),
         F.struct(
@@ -181,7 +183,8 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SIGHTINGS_SQL = """
 sight0 AS (
   SELECT 'o' || l_orderkey AS inv_id,
-         CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 100000 + l_suppkey AS pos,
+         CAST(l_linenumber AS BIGINT) * 100000000000000000 + l_partkey % 100000 * 1000000000000
+         + l_suppkey % 10000 * 100000000 + CAST(round(l_extendedprice * 100) AS BIGINT) AS pos,
          'https://s' || l_suppkey || '.example/' || CASE WHEN l_linenumber = 7 THEN 'tag/' ELSE '' END || l_partkey AS url,
          'T' || (l_partkey % 50) AS title, l_linenumber = 7 AS is_listing,
          CASE WHEN l_returnflag = 'R' THEN 'page' WHEN l_returnflag = 'A' THEN 'platform'

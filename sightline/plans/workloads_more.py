@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sightline.functions import urls, vectors
@@ -13,8 +11,8 @@ from sightline.plans.readings import (
     CALLS_AS_OF, CALLS_SQL, PAGE_ROWS_SQL, SIGHTINGS_SQL, as_of, calls, page_rows, sightings,
 )
 from sightline.plans.registry import query, table
+from sightline.session import cut_lineage
 from sightline.sources import responses, sinks
-from sightline.streaming import live  # noqa: F401
 
 TS = "yyyy-MM-dd HH:mm:ss"
 DOT_SQL = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
@@ -94,7 +92,8 @@ ON a.kind = b.kind AND a.h < b.h AND bit_count(xor(a.h, b.h)) <= 14""")
 def hash_near_dup(spark, sf):
     """All pairs of distinct hashes within 14 bits (random signs of 64 dimensions rarely come closer)."""
     h = similarity.hash_values(_signs(spark, sf))
-    p = similarity.hash_pairs(h, h, 14)
+    # The row count comes from file footers; it only picks the slicing.
+    p = similarity.hash_pairs(h, h, 14, 2 * table(spark, sf, "embeddings").count())
     return p.filter(F.col("query_hash") < F.col("index_hash"))
 
 
@@ -224,8 +223,8 @@ m AS (SELECT *, CASE level WHEN 'platform' THEN 0 WHEN 'page' THEN 1 ELSE 2 END
 d AS (SELECT *, bool_or(dif) OVER (PARTITION BY page) AS contra FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY lr, n) AS c FROM d WHERE NOT (level = 'engine_claim' AND contra)),
 f AS (SELECT page, arg_min(level, c) FILTER (hit) AS level, arg_min(CASE WHEN distance <= 8 THEN 'exact' ELSE 'variant' END, c) FILTER (hit) AS kind,
-   min(c) FILTER (hit) AS at, max(c) AS n, bool_or(contra) AS contra, count(*) FILTER (level = 'page') AS pages FROM k GROUP BY 1)
-SELECT page, coalesce(level, 'none') AS level, kind, CAST(coalesce(at, n) AS INTEGER) AS checked,
+   min(c) FILTER (hit) AS hit_no, max(c) AS n, bool_or(contra) AS contra, count(*) FILTER (level = 'page') AS pages FROM k GROUP BY 1)
+SELECT page, coalesce(level, 'none') AS level, kind, CAST(coalesce(hit_no, n) AS INTEGER) AS checked,
   CASE WHEN contra THEN 'page images differ' WHEN level = 'engine_claim' THEN CASE WHEN pages = 0 THEN 'page not checkable' ELSE 'page images not judged' END END AS note FROM f""")
 def page_image_evidence(spark, sf):
     c = _comparisons(spark, sf).withColumn("level", F.when(F.col("n") <= 2, "engine_claim").when(F.col("n") <= 4, "platform").otherwise("page"))
@@ -274,9 +273,6 @@ def first_seen_after_filter(spark, sf):
 
 # ------------------------------------------------------------------------------------------ pictures
 
-_SHADES = "0123456789ABCDEF"
-
-
 def _pictures(spark, sf):
     """Each 64-value vector as an 8 x 8 grey picture, enlarged six times, in the image source's layout."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -298,7 +294,7 @@ def keyframes(spark, sf):
     """Ten vectors make a clip; its features come from the derived pictures."""
     f = _pictures(spark, sf).withColumn("f", images.frame_features("image")).select(
         F.floor(F.col("vec_id") / 10).alias("video_id"), (F.col("vec_id") % 10).alias("frame_no"), "f.*")
-    return images.select_keyframes(f, 4)
+    return images.select_keyframes(cut_lineage(f), 4)
 
 
 @query()
