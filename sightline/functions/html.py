@@ -134,11 +134,18 @@ def _variant_items(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))
 
 
+def _jsonld_parsed(html: Column) -> Column:
+    return F.filter(F.transform(jsonld_bodies(html), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull())
+
+
+def jsonld_objects(html: Column) -> Column:
+    """The top-level JSON-LD objects of a page; a ``@graph`` stays closed."""
+    return F.flatten(F.transform(_jsonld_parsed(html), _variant_items))
+
+
 def jsonld_items(html: Column, depth: int = JSONLD_DEPTH) -> Column:
     """Every JSON-LD object of a page: arrays and ``@graph`` lists are opened ``depth`` levels down."""
-    parsed = F.filter(
-        F.transform(jsonld_bodies(html), lambda b: F.try_parse_json(b)), lambda v: v.isNotNull()
-    )
+    parsed = _jsonld_parsed(html)
 
     def opened(items):
         return let(F.flatten(F.transform(items, _variant_items)), lambda lists: F.concat(
@@ -262,7 +269,7 @@ def candidate_images(html: Column, base: Column) -> Column:
         ))
 
     structured = F.when(
-        html.contains("application/ld+json"), F.flatten(F.transform(jsonld_items(html, 1), json_images))
+        html.contains("application/ld+json"), F.flatten(F.transform(jsonld_objects(html), json_images))
     ).otherwise(F.array().cast("array<string>"))
 
     def side(tag, name):

@@ -253,7 +253,7 @@ def first_hit_date(url: Column, html: Column) -> Column:
             F.lit(name).alias("evidence"),
         )))
 
-    stated = F.transform(H.jsonld_items(html, 1), lambda item: parse_date_v1(F.coalesce(*[
+    stated = F.transform(H.jsonld_objects(html), lambda item: parse_date_v1(F.coalesce(*[
         blank_to_null(F.try_variant_get(item, f"$.{key}", "string"))
         for key in ("datePublished", "dateCreated", "uploadDate")
     ])))

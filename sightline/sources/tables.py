@@ -48,4 +48,8 @@ def read_bytes(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def undecodable(files: DataFrame, images: DataFrame) -> DataFrame:
     """Uploads to reject: files that no picture came from."""
-    return files.join(images.select(F.col("image.origin").alias("path")), "path", "left_anti")
+    def same_form(path):
+        return F.regexp_replace(path, "^([A-Za-z0-9+.-]+):/+", "$1:/")
+
+    decoded = images.select(same_form(F.col("image.origin")).alias("_path"))
+    return files.withColumn("_path", same_form(F.col("path"))).join(decoded, "_path", "left_anti").drop("_path")
