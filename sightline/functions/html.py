@@ -61,9 +61,14 @@ def unescape(text: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """Attribute value inside one tag; '' when present without a value, null when absent."""
-    quoted = rf"(?is)\s{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
-    value = F.concat(*[F.regexp_extract(tag, quoted, i) for i in (1, 2, 3)])
-    return F.when(tag.rlike(rf"(?is)\s{name}(?=[\s=/>])"), unescape(value))
+    raw = F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", 1)
+
+    def value(v):
+        bare = F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)
+        return F.when(v != "", F.when(v.contains("&"), unescape(bare)).otherwise(bare)).when(
+            tag.rlike(rf"(?is)\s{name}(?=[\s=/>])"), F.lit(""))
+
+    return let(raw, value)
 
 
 def without_code(html: Column) -> Column:
@@ -187,42 +192,58 @@ def _stated(tag: Column, text: Column) -> Column:
     )
 
 
+def _date_rules() -> Column:
+    """Lookup from "tag|attribute|value" to the rule's place, name and confidence."""
+    entries = []
+    for no, (tag, attr, value, name, conf) in enumerate(META_DATES):
+        entries += [F.lit(f"{tag}|{attr}|{value or ''}"), F.struct(
+            F.lit(no).alias("no"), F.lit(name).alias("name"), F.lit(conf).alias("confidence"))]
+    return F.create_map(*entries)
+
+
 def tag_date_evidence(html: Column, as_of: Column) -> Column:
-    """``array<evidence>``: the first element of each place a page may state its date."""
-    body = without_code(html)
+    """``array<evidence>``: the first element of each place a page may state its date.
+
+    One pass cuts out the tags; those that mention no date are dropped before any attribute is read, and
+    the rest find their rules by lookup, so the work follows the few tags that matter.
+    """
     carriers = F.regexp_extract_all(
-        body, F.lit(r"(?is)(<(?:meta|time)\b[^<]*|<[a-z][a-z0-9]*\s[^<>]*itemprop[^<]*)"), F.lit(1)
+        without_code(html),
+        F.lit(r"(?is)(<(?:meta|time)\b[^<]*|<[a-z][a-z0-9]*\s[^<>]*itemprop[^<]*)"), F.lit(1),
     )
-    # One pass over the document; the rules below only look at the few tags found.
-    described = F.transform(carriers, lambda t: F.struct(
-        F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1)).alias("tag"),
-        attribute(t, "property").alias("property"),
-        attribute(t, "name").alias("name"),
-        attribute(t, "itemprop").alias("itemprop"),
-        attribute(t, "datetime").alias("datetime"),
-        t.rlike(r"(?is)^<[^>]*\spubdate(?=[\s=/>])").alias("pubdate"),
-        _stated(t, F.regexp_extract(t, r"(?s)>(.*)$", 1)).alias("stated"),
-    ))
 
-    def fits(tag, attr, value):
-        def test(d):
-            right_tag = F.lit(True) if tag == "*" else d["tag"] == tag
-            if value is not None:
-                right = d[attr] == value
-            else:
-                right = d["datetime"].isNotNull() & (d["pubdate"] if "pubdate" in attr else F.lit(True))
-            return F.coalesce(right_tag & right, F.lit(False))
-        return test
-
-    def rules(found):
-        return _read_stated(F.array(*[
-            F.struct(F.get(F.filter(found, fits(tag, attr, value)), F.lit(0))["stated"].alias("stated"),
-                     F.lit(conf).alias("confidence"), F.lit(name).alias("source"))
-            for tag, attr, value, name, conf in META_DATES
-        ]), as_of)
+    def described(t):
+        tag = F.lower(F.regexp_extract(t, r"^<([A-Za-z0-9]+)", 1))
+
+        def read(a):
+            keys = F.array_compact(F.array(
+                F.concat(a["tag"], F.lit("|property|"), a["property"]), F.concat(a["tag"], F.lit("|name|"), a["name"]),
+                F.concat(a["tag"], F.lit("|itemprop|"), a["itemprop"]), F.concat(F.lit("*|itemprop|"), a["itemprop"]),
+                F.when(a["datetime"].isNotNull(), F.concat(a["tag"], F.lit("|datetime|"))),
+                F.when(a["datetime"].isNotNull() & t.rlike(r"(?is)^<[^>]*\spubdate(?=[\s=/>])"),
+                       F.concat(a["tag"], F.lit("|datetime pubdate|"))),
+            ))
+            stated = F.coalesce(
+                blank_to_null(attribute(t, "content")), blank_to_null(a["datetime"]), F.regexp_extract(t, r"(?s)>(.*)$", 1))
+            rules = F.array_compact(F.transform(keys, lambda k: F.try_element_at(_date_rules(), k)))
+            return F.when(F.size(rules) > 0, F.struct(stated.alias("stated"), rules.alias("rules")))
+
+        return let(F.struct(tag.alias("tag"), *[
+            attribute(t, name).alias(name) for name in ("property", "name", "itemprop", "datetime")
+        ]), read)
+
+    def first_of_each(found):
+        hits = F.array_sort(F.flatten(F.transform(found, lambda d, i: F.transform(d["rules"], lambda r: F.struct(
+            r["no"].alias("no"), i.alias("i"), d["stated"].alias("stated"), r["confidence"].alias("confidence"),
+            r["name"].alias("source"),
+        )))))
+        firsts = let(hits, lambda h: F.filter(h, lambda x, j: (j == 0) | (F.get(h, j - 1)["no"] != x["no"])))
+        return _read_stated(firsts, as_of)
 
     none = F.array().cast(f"array<{dates.EVIDENCE}>")
-    return let(described, lambda found: F.when(F.size(found) > 0, rules(found)).otherwise(none))
+    dated = F.filter(carriers, lambda t: t.rlike("(?i)publish|date"))
+    return let(dated, lambda tags_: F.when(
+        F.size(tags_) > 0, first_of_each(F.array_compact(F.transform(tags_, described)))).otherwise(none))
 
 
 def text_date_evidence(html: Column, as_of: Column, window: int = TEXT_DATE_WINDOW) -> Column:

@@ -266,6 +266,9 @@ def platform_facet(url: Column) -> Column:
     return let(F.regexp_replace(host_of(url), r"^(www|m|mobile)\.", ""), label)
 
 
+IDENTITY_COLUMNS = ("host", "domain", "canonical", "is_junk", "is_social", "is_listing", "platform")
+
+
 def with_url_identity(df: DataFrame, url: str = "url") -> DataFrame:
     """Adds host, domain, canonical and the class flags in staged projections, so each part is
     computed once per row instead of once per use."""

@@ -184,7 +184,9 @@ def date_pages(pages: DataFrame, as_of: Column) -> DataFrame:
         F.col("url"), F.col("html"), F.col("last_modified"), F.col("tweet_created_at"), as_of
     ))
     resolved = ev.withColumn("_resolved", resolve(F.col("evidence"), crawl_bound(F.col("crawl_date"), as_of)))
-    graded = resolved.withColumn("_date", grade(F.col("_resolved"), urls.is_listing(F.col("url"))))
+    known = urls.with_url_identity(resolved.withColumn("_url", F.col("url")), "_url")
+    graded = known.withColumn("_date", grade(F.col("_resolved"), F.col("is_listing"))).drop(
+        "_url", *[c for c in urls.IDENTITY_COLUMNS if c not in pages.columns])
     return graded.withColumn("date", F.struct(
         F.col("_date.level"), F.col("_date.when"), F.col("_date.upper_bound"),
         strongest_sources(F.col("evidence")).alias("sources"),

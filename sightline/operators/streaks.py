@@ -7,10 +7,13 @@ touch a chunk's edge are stitched across chunks.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightline.operators.skew import spread
 from sightline.operators.usage import COOLDOWN_SECONDS, COOLDOWN_STATUSES, FAILURES_TO_OPEN, OPEN_SECONDS
 
 CHUNK_SECONDS = 3600
@@ -109,23 +112,30 @@ def breaker_states(
     shape = [key, "id", "at", "failed", F.lit(False).alias("rejected"), F.col("failures").cast("int").alias("failures")]
     types = dict(calls.dtypes)
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "id"])
-        failures, opened, out = 0, None, []
-        for at, failed in zip(pdf["at"], pdf["failed"]):
-            rejected = False
-            if failures >= threshold:
-                rejected = (at - opened).total_seconds() < cooldown_s
-                failures = failures if rejected else 0
-            if not rejected:
-                failures = failures + 1 if failed else 0
-                opened = at if failures >= threshold else opened
-            out.append((rejected, failures))
-        pdf["rejected"], pdf["failures"] = zip(*out)
-        return pdf[[key, "id", "at", "failed", "rejected", "failures"]]
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Rows come sorted; the state crosses batches, so a zone of any length needs no gathering.
+        zone, failures, opened = None, 0, None
+        for pdf in batches:
+            out = []
+            for here, at, failed in zip(zip(pdf[key], pdf["zone"]), pdf["at"], pdf["failed"]):
+                if here != zone:
+                    zone, failures, opened = here, 0, None
+                rejected = False
+                if failures >= threshold:
+                    rejected = (at - opened).total_seconds() < cooldown_s
+                    failures = failures if rejected else 0
+                if not rejected:
+                    failures = failures + 1 if failed else 0
+                    opened = at if failures >= threshold else opened
+                out.append((rejected, failures))
+            if out:
+                pdf["rejected"], pdf["failures"] = zip(*out)
+                yield pdf[[key, "id", "at", "failed", "rejected", "failures"]]
 
     schema = f"{key} {types[key]}, id {types['id']}, at timestamp, failed boolean, rejected boolean, failures int"
-    walked = zoned.filter(F.col("zone").isNotNull()).select(key, "zone", "id", "at", "failed").groupBy(key, "zone").applyInPandas(walk, schema)
+    walked = spread(
+        zoned.filter(F.col("zone").isNotNull()).select(key, "zone", "id", "at", "failed"), key, "zone"
+    ).sortWithinPartitions(key, "zone", "at", "id").mapInPandas(walk, schema)
     return calm_ok.select(*shape).unionByName(calm_failed.select(*shape)).unionByName(walked)
 
 
