@@ -192,8 +192,13 @@ def nearest(
             ])
         return pd.Series(out)
 
-    only = F.struct(F.lit(0).alias("cell"), F.lit(0).alias("ring"))
-    placed, probed = (place("embedding"), F.explode(probe("embedding"))) if n > 1 else (only, only)
+    def only(id_col):
+        # Always cell 0, but not a constant to the optimizer, so the joins below stay equi-joins.
+        zero = F.pmod(F.xxhash64(id_col), F.lit(1)).cast("int")
+        return F.struct(zero.alias("cell"), zero.alias("ring"))
+
+    placed = place("embedding") if n > 1 else only("media_hash")
+    probed = F.explode(probe("embedding")) if n > 1 else only("query_id")
     cell = ["cell", "ring"]
     held = kept.withColumn("p", placed).select("media_hash", "embedding", "p.cell", "p.ring")
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).withColumn(

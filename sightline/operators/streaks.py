@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators.skew import spread
 from sightline.operators.usage import COOLDOWN_SECONDS, COOLDOWN_STATUSES, FAILURES_TO_OPEN, OPEN_SECONDS
+from sightline.session import cut_lineage
 
 CHUNK_SECONDS = 3600
 
@@ -24,10 +25,12 @@ def _chunk_of(at: Column, seconds: int) -> Column:
 
 
 def _islands(calls: DataFrame, key: str, chunk_seconds: int) -> DataFrame:
-    """Calls with their island number inside ``(key, chunk)``: consecutive failures share one."""
+    """Calls with their island number inside ``(key, chunk)``: a success opens one, failures join it."""
     c = calls.withColumn("chunk", _chunk_of(F.col("at"), chunk_seconds))
-    w = Window.partitionBy(key, "chunk").orderBy("at", "id")
-    return c.withColumn("island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(w))
+    chunk = Window.partitionBy(key, "chunk")
+    return c.withColumn(
+        "island", F.sum(F.when(F.col("failed"), 0).otherwise(1)).over(chunk.orderBy("at", "id"))
+    ).withColumn("last_island", F.max("island").over(chunk))
 
 
 def runs(calls: DataFrame, key: str = "provider", chunk_seconds: int = CHUNK_SECONDS) -> DataFrame:
@@ -36,12 +39,11 @@ def runs(calls: DataFrame, key: str = "provider", chunk_seconds: int = CHUNK_SEC
     ``calls``: key, ``id, at, failed``; order is ``(at, id)``.
     """
     c = _islands(calls, key, chunk_seconds)
-    local = c.groupBy(key, "chunk", "island").agg(
+    # Windows and grouping share one shuffle on (key, chunk).
+    local = c.groupBy(key, "chunk", "island", "last_island").agg(
         F.count_if("failed").alias("length"), F.min(F.when(F.col("failed"), F.struct("at", "id"))).alias("first"),
         F.max(F.when(F.col("failed"), F.col("at"))).alias("last_at"), F.bool_or(~F.col("failed")).alias("after_success"),
     )
-    edges = c.groupBy(key, "chunk").agg(F.max("island").alias("last_island"))
-    local = local.join(edges, [key, "chunk"])
     # Island 0 opens its chunk, the last island closes it; only those can continue elsewhere. Both are
     # kept even when they hold no failure, because an empty one is what ends a run at the edge.
     at_edge = (~F.col("after_success")) | (F.col("island") == F.col("last_island"))
@@ -75,7 +77,8 @@ def breaker_states(
     "long run plus cooldown" no call is rejected and the count is simply the place in the raw run. Only
     calls inside a zone are walked one by one, zone by zone.
     """
-    all_runs = runs(calls, key, chunk_seconds)
+    # Read three times below and far smaller than the calls: stored once.
+    all_runs = cut_lineage(runs(calls, key, chunk_seconds))
     wait = F.make_interval(secs=F.lit(cooldown_s).cast("decimal(18,6)"))
     long = all_runs.filter(F.col("length") >= threshold).select(
         key, F.col("started_at").alias("z_from"), (F.col("ended_at") + wait).alias("z_to"))

@@ -385,10 +385,23 @@ def page_title_caption(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html"), urls.domain_of(F.col("url"))).alias("title"))
 
 
-@query()
+def _text_sql(cut: str) -> str:
+    """Visible text of a page: code and ``cut`` elements out, pieces stripped and joined, entities read."""
+    body = "regexp_replace(html, '<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'gis')"
+    for tag in cut.split():
+        body = f"regexp_replace({body}, '<{tag}\\b.*?</{tag}>', ' ', 'gis')"
+    ws = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)"
+    pieces = f"list_transform(string_split_regex({body}, '<[^>]*>'), lambda p: trim(p, {ws}))"
+    text = f"array_to_string(list_filter({pieces}, lambda p: p <> ''), ' ')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&#x27;", "''"),
+                       ("&apos;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    return text
+
+
+@query(f"SELECT page_id, substr(regexp_replace({_text_sql('nav footer header')}, '\\s+', ' ', 'g'), 1, 400) AS caption FROM pages")
 def page_captions(spark, sf):
-    return table(spark, sf, "pages").select(
-        "page_id", html.caption(F.col("html")).alias("caption"), html.title_v1(F.col("html"), F.col("url")).alias("title_v1"))
+    return table(spark, sf, "pages").select("page_id", html.caption(F.col("html")).alias("caption"))
 
 
 # ---------------------------------------------------------------------------------------- candidates
@@ -674,17 +687,19 @@ def run_stats(spark, sf):
 
 
 @query("""
-SELECT 'i' AS inv_id, CASE page_id % 6 WHEN 0 THEN 'X' WHEN 1 THEN 'Instagram' WHEN 2 THEN 'YouTube' WHEN 4 THEN 'Telegram' ELSE 'ويب' END AS facet,
+SELECT 'inv' || (page_id % 7) AS inv_id, CASE page_id % 6 WHEN 0 THEN 'X' WHEN 1 THEN 'Instagram' WHEN 2 THEN 'YouTube' WHEN 4 THEN 'Telegram' ELSE 'ويب' END AS facet,
   count(*) AS n FROM pages GROUP BY ALL""")
 def platform_facets(spark, sf):
-    return R.facet_counts(_social(spark, sf).select(F.lit("i").alias("inv_id"), F.col("url").alias("link")))
+    inv = F.concat(F.lit("inv"), F.col("page_id") % 7)
+    return R.facet_counts(_social(spark, sf).select(inv.alias("inv_id"), F.col("url").alias("link")))
 
 
 @query("""
-WITH f AS (SELECT page_id, row_number() OVER (ORDER BY page_id) AS shown_rank FROM pages WHERE page_id % 6 = 0)
+WITH f AS (SELECT page_id, row_number() OVER (PARTITION BY page_id % 7 ORDER BY page_id) AS shown_rank FROM pages WHERE page_id % 6 = 0)
 SELECT page_id, shown_rank FROM f WHERE shown_rank <= 24""")
 def facet_page(spark, sf):
-    s = _social(spark, sf).select(F.lit("i").alias("inv_id"), F.col("page_id").alias("pos"), F.col("url").alias("link"))
+    inv = F.concat(F.lit("inv"), F.col("page_id") % 7)
+    s = _social(spark, sf).select(inv.alias("inv_id"), F.col("page_id").alias("pos"), F.col("url").alias("link"))
     return R.facet_page(s, "X").select(F.col("pos").alias("page_id"), "shown_rank")
 
 

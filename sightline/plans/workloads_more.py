@@ -400,7 +400,11 @@ def scene_geometry(spark, sf):
     return geometry.judge_matches(m)
 
 
-@query()
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Midjourney v6' ELSE 'Photo Editor' END AS tool, source AS credit,
+  'credit line in file: ' || source || '; software: ' ||
+  CASE WHEN doc_id % 3 = 0 THEN 'Midjourney v6; software field names an AI image generator' ELSE 'Photo Editor' END AS hints,
+  doc_id % 3 = 0 AS likely_ai FROM documents""")
 def file_forensics(spark, sf):
     """Documents as file bytes with an embedded metadata block."""
     d = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
