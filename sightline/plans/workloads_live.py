@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from sightline.operators import usage
 from sightline.plans.readings import CALLS_SQL, calls
 from sightline.plans.registry import SQL, query
+from sightline.session import shared_folder
 from sightline.streaming import live
 
 TS = "yyyy-MM-dd HH:mm:ss"
@@ -30,11 +30,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder where every executor can write: beside the cluster's checkpoints, else temporary."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/live-{os.urandom(8).hex()}"
-    return tempfile.mkdtemp(prefix="sightline-live-")
+    """A new folder beside the cluster's checkpoints."""
+    return f"{shared_folder(spark)}/live-{os.urandom(8).hex()}"
 
 
 def _run(df: DataFrame, mode: str = "append") -> DataFrame:

@@ -40,19 +40,20 @@ def local(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a lost executor costs a re-read, not a re-run.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``. Only a
+    session on one machine that names none (a test) gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="sightline-", dir=os.environ.get("TMPDIR", "/tmp"))
+
 
-    The folder comes from ``spark.checkpoint.dir``. Only a session that names none (a test on one
-    machine) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; a lost executor costs a re-read, not a re-run."""
+    sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if not shared:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            shared = tempfile.mkdtemp(prefix="sightline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
