@@ -62,3 +62,10 @@ def spread(df: DataFrame, *columns: str) -> DataFrame:
     bytes; before a step that multiplies rows or work per byte, that would leave it to one task."""
     width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(width, *columns)
+
+
+def widen(df: DataFrame, *columns: str) -> DataFrame:
+    """Spreads a narrow table over all cores before work that is heavy per row, but only when its scan has
+    fewer splits than there are cores (one small file); a table of many splits is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return spread(df, *columns) if df.rdd.getNumPartitions() < cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sightline.functions import dates, html, urls
 from sightline.operators import candidates as C
 from sightline.operators import evidence as E
+from sightline.operators.skew import widen
 from sightline.plans import report as R
 from sightline.plans.readings import (
     AS_OF, HOST_SQL, MERGED_SQL, ORDER_SQL, PAGE_ROWS_SQL, SCORED_SQL, SIGHTINGS_SQL, as_of, canonical_sql,
@@ -286,7 +287,7 @@ def _html_pages(spark, sf):
         .when(k == 4, cat(F.lit('<span itemprop="datePublished">'), day, F.lit('</span><meta name="date" content="'), day, F.lit('">')))
         .otherwise("<body><p>no date</p></body>")
     )
-    return table(spark, sf, "orders").select(
+    return widen(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey").select(
         "o_orderkey", F.concat(F.lit("https://news.example/a/"), F.col("o_orderkey")).alias("url"), doc.alias("html"),
         F.when(k == 5, F.concat(F.date_format(d, "EEE"), F.lit(", "), F.date_format(d, "dd MMM yyyy"), F.lit(" 10:00:00 GMT"))).alias("last_modified"),
         F.lit(None).cast("string").alias("tweet_created_at"),
