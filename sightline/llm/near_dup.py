@@ -19,6 +19,8 @@ SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: more selective and more numerous: raise them with the number of texts.
 PARTS, LEFT_OUT = 3, 1
 SIGNATURE_ROWS = 1 << 16  # signatures in one Arrow batch, about
+FEWEST_PARTS, MOST_PARTS = 32, 1 << 14   # of a profile; about four shingles a part
+BLOCK_MEMBERS = 512       # of a hub's members that meet in one task
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -136,10 +138,112 @@ def _stars(signed: DataFrame) -> DataFrame:
     return signed.mapInArrow(run, f"hub {kind}, id {kind}")
 
 
+def profile(features: np.ndarray) -> bytes:
+    """How many features of a set lie in each part of the domain, one byte a part; 255 stands for any larger number.
+    The number of parts is a power of two that follows the size, so similar sets have as many, or half or twice."""
+    parts = min(MOST_PARTS, max(FEWEST_PARTS, 1 << (max(1, len(features)) // 4).bit_length()))
+    return np.minimum(np.bincount((features & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
+
+
+def profiles(column: pa.Array) -> np.ndarray:
+    """Profiles (rows x parts) of one width, the narrowest of them: parts that a narrower one joins are added up."""
+    rows = [np.frombuffer(p, np.uint8) for p in column.to_pylist()]
+    width = min(map(len, rows))
+    return np.stack([np.where((r == 255).any(), 1 << 20, r.astype(np.int32).reshape(-1, width).sum(0)) for r in rows])
+
+
+def may_link(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray, at_least: Fraction) -> np.ndarray:
+    """Whether the profiles leave room for the similarity: a part's features have at most the lesser count in common,
+    and similar sets of sizes n and m have at least s / (1 + s) (n + m)."""
+    room = np.minimum(np.minimum(mine, theirs).sum(-1, dtype=np.int64), np.minimum(n, m))
+    return room * (at_least.numerator + at_least.denominator) >= (n + m) * at_least.numerator
+
+
+def _with_profiles(rows: DataFrame, size: int) -> DataFrame:
+    """``id, text_content, n, profile``."""
+    def step(batch):
+        sets = [(len(s), profile(s)) for s in row_shingles(batch.column(1), size)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([p for _, p in sets], pa.binary())], ["id", "text_content", "n", "profile"])
+
+    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, text_content string, n bigint, profile binary")
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, at_least: Fraction) -> DataFrame:
+    """The pairs whose profiles leave room for the similarity."""
+    kind = pairs.schema["id"].dataType.simpleString()
+    theirs = nodes.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("profile").alias("hub_profile"))
+    both = pairs.join(nodes.select("id", "n", "profile"), "id").join(theirs, "hub").select("hub", "id", "n", "profile", "m", "hub_profile")
+
+    def step(batch):
+        n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+        keep = np.zeros(len(n), bool)
+        for k, (p, q) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+            two = profiles(pa.array([p, q], pa.binary()))
+            keep[k] = may_link(two[0], two[1], n[k], m[k], at_least)
+        yield pa.record_batch([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["hub", "id"])
+
+    return on_bytes(both, step, f"hub {kind}, id {kind}")
+
+
+def _around_hubs(members: DataFrame, nodes: DataFrame, at_least: Fraction) -> DataFrame:
+    """``hub, id``: pairs of members of one hub that are in different components (``part``) and whose profiles leave
+    room. ``members``: ``hub, id, part``.
+
+    A hub's members are dealt out to blocks, and each two blocks meet in a task of their own: a task holds about two
+    blocks, whatever the number of members."""
+    kind = members.schema["id"].dataType.simpleString()
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), (F.min("part") != F.max("part")).alias("open")).filter("open").select(
+        "hub", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("n_blocks"))
+    placed = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    placed = placed.withColumn("o", other).select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "part")
+    placed = placed.join(nodes.select("id", "n", "profile"), "id").select(F.struct("hub", "i", "j").alias("key"), "block", "i", "j", "id", "part", "n", "profile")
+    placed = placed.repartition("key").sortWithinPartitions("key")
+
+    def pairs_of(group: pa.Table):
+        group = group.combine_chunks()
+        n, block = group.column("n").to_numpy(), group.column("block").to_numpy()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        _, part = np.unique(group.column("part").to_numpy(), return_inverse=True)
+        if len(n) < 2 or part.max() == 0:
+            return None
+        held, left, right = profiles(group.column("profile")), [], []
+        for k in range(len(n)):
+            # Each pair once: the second after the first within a block, the second block's against the first's.
+            against = np.flatnonzero((part != part[k]) & ((np.arange(len(n)) > k) if i == j else (block == j))) if i == j or block[k] == i else []
+            if len(against):
+                good = against[may_link(held[k], held[against], n[k], n[against], at_least)]
+                left.append(np.full(len(good), k))
+                right.append(good)
+        if not left or not sum(map(len, left)):
+            return None
+        ids = group.column("id").combine_chunks()
+        return pa.record_batch([ids.take(pa.array(np.concatenate(x).astype(np.int64))) for x in (left, right)], ["hub", "id"])
+
+    def run(batches):
+        waiting, at = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).to_pylist()
+            starts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            for first, last in zip(starts, starts[1:]):
+                if keys[first] != at and waiting:
+                    if (found := pairs_of(pa.Table.from_batches(waiting))) is not None:
+                        yield found
+                    waiting = []
+                at = keys[first]
+                waiting.append(batch.slice(first, last - first))
+        if waiting and (found := pairs_of(pa.Table.from_batches(waiting))) is not None:
+            yield found
+
+    return placed.mapInArrow(run, f"hub {kind}, id {kind}")
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``hub, id, common, either``: sizes of intersection and union of the shingle sets of pairs of rows."""
     a = texts.select(F.col("id").alias("hub"), F.col("text_content").alias("hub_text"))
-    both = pairs.join(texts, "id").join(a, "hub").select("hub", "id", "hub_text", "text_content")
+    both = pairs.join(texts.select("id", "text_content"), "id").join(a, "hub").select("hub", "id", "hub_text", "text_content")
     kind = pairs.schema["id"].dataType.simpleString()
 
     def step(batch):
@@ -167,9 +271,10 @@ def near_duplicates(
 
     Steps. Rows with one shingle set are a class, named by its least id. Every row's PartEnum signatures go to the
     tasks of their values; within one, rows meet a hub rather than each other. Hubs and rows are replaced by their
-    classes, and the different pairs are compared exactly. A link between two rows that met at a hub, neither linked
-    with it nor in one component, is then looked for among the pairs that the distance to the hub still allows
-    (Jaccard distance is a metric), and compared exactly as well. No link between different components is left out."""
+    classes; pairs whose profiles (counts of shingles by part of the domain) leave no room for the similarity are passed
+    over, the others compared exactly. Two rows that met at one hub and are not in one component yet may still be
+    linked: their profiles are held against each other in blocks of a hub's members, and the pairs that are left are
+    compared exactly as well. No link between different components is left out, and within one none more is sought."""
     rows = analyses.select(F.col(id).alias("id"), F.col(text).alias("text_content"))
     scheme = PartEnum(at_least, parts, left_out)
     sets = settle(_classes(rows, words))
@@ -182,25 +287,18 @@ def near_duplicates(
     of_id, of_hub = cls.select("id", F.col("cls").alias("c")), cls.select(F.col("id").alias("hub"), F.col("cls").alias("h"))
     pairs = settle(met.join(of_id, "id").join(of_hub, "hub").select(F.col("h").alias("hub"), F.col("c").alias("id")).filter("hub <> id").distinct())
     wanted = settle(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct())
-    texts = settle(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]))
+    nodes = settle(_with_profiles(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), words))
     # One order for each pair: (a, b) and (b, a) are compared once.
     ordered = lambda p: p.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
-    first = settle(_compared(ordered(pairs), texts, words))
     linked = F.col("common") * at_least.denominator >= F.col("either") * at_least.numerator
-    known = settle(components(first.filter(linked), "hub", "id"))
-
-    # Around each hub: who met there, how far from it, and in which component.
-    away = (1 - F.col("common") / F.col("either")).alias("away")
-    seen = pairs.join(first.select(F.col("hub").alias("a"), F.col("id").alias("b"), away), (F.least("hub", "id") == F.col("a")) & (F.greatest("hub", "id") == F.col("b"))).select("hub", "id", "away")
-    at = lambda df, key, name: df.join(known.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-    seen = settle(at(at(seen, "id", "part"), "hub", "hub_part"))
-    apart = seen.filter("part <> hub_part").select("hub", F.col("id").alias("x"), F.col("away").alias("x_away"), F.col("part").alias("x_part"))
-    reach = float(1 - at_least) + 1e-9
-    rest = apart.join(seen.select("hub", F.col("id").alias("y"), F.col("away").alias("y_away"), F.col("part").alias("y_part")), "hub").filter(
-        (F.col("x") != F.col("y")) & (F.col("x_part") != F.col("y_part")) & (F.abs(F.col("x_away") - F.col("y_away")) <= reach)
-    ).select(F.col("x").alias("hub"), F.col("y").alias("id"))
-    rest = settle(ordered(rest).join(first, ["hub", "id"], "left_anti"))
-    second = settle(_compared(rest, texts, words))
-    whole = components(first.filter(linked).unionByName(second.filter(linked)), "hub", "id")
+    likely = settle(_likely(ordered(pairs), nodes, at_least))
+    first = settle(_compared(likely, nodes, words).filter(linked))
+    known = settle(components(first, "hub", "id"))
+
+    members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("id"))).distinct()
+    members = members.join(known.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    rest = settle(ordered(_around_hubs(settle(members), nodes, at_least)).join(likely, ["hub", "id"], "left_anti"))
+    second = settle(_compared(rest, nodes, words).filter(linked))
+    whole = components(first.unionByName(second), "hub", "id")
     groups = cls.join(whole.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left").select("id", F.coalesce("c", "cls").alias("component_id"))
     return sets.select("id", "n_shingles").join(groups, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
