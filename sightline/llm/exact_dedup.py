@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import as_bytes, join_back, on_bytes
+from sightline.llm.common import as_bytes, join_back, on_bytes, settle
 
 # ---------------------------------------------------------------------------------------- Fixed values
 CHUNK_LEAST, CHUNK_USUAL, CHUNK_MOST = 256, 1024, 16_384   # bytes
@@ -28,10 +28,10 @@ def cuts(text: np.ndarray, usual: int = CHUNK_USUAL) -> list[int]:
     n = len(text)
     if n <= CHUNK_LEAST:
         return [n] if n else []
-    h, width, factor = _WEIGHTS[text], 1, np.uint32(0x9E3779B1)
+    h, width, factor = _WEIGHTS[text], 1, 0x9E3779B1
     while width < WINDOW:
-        h[width:] = h[width:] + h[:-width] * factor
-        factor, width = factor * factor, width * 2
+        h[width:] = h[width:] + h[:-width] * np.uint32(factor)
+        factor, width = factor * factor & 0xFFFFFFFF, width * 2
     ends, last = [], 0
     for end in (np.flatnonzero(h[WINDOW:] >> np.uint32(16) & np.uint32(usual - 1) == 0) + WINDOW + 1).tolist():
         while end - last > CHUNK_MOST:
@@ -114,7 +114,7 @@ def dedupe_texts(analyses: DataFrame, id: str = "id", text: str = "text_content"
     A null text counts as empty, and all empty texts are equal (an empty list). Rows that repeat an id with an equal
     text are one group; if they are the largest id, all of them are kept. A row with a null id is kept only in a group
     without any other id. An empty table gives an empty result."""
-    rows = chunk_recipes(analyses, id, text, usual)
+    rows = settle(chunk_recipes(analyses, id, text, usual))
     held = rows.groupBy("recipe", "media_hash").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     contested = contested_chunks(analyses, text, usual)
     unsure = held.select("media_hash", F.explode(F.array_distinct("recipe")).alias("chunk")).join(contested, "chunk", "left_semi").select("media_hash").distinct()
