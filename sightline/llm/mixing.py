@@ -98,8 +98,9 @@ def mix_results(
     The running sums that a quota needs are cut at the leading digits of the hash: sums of pieces first, then rows
     within a piece, so a domain with a third of all rows is thousands of groups."""
     rows = results.select(F.col(id).alias("id"), F.col(domain).alias("domain"), F.greatest(F.coalesce(F.col(n_tokens).cast("bigint"), F.lit(0)), F.lit(0)).alias("n_tokens"))
+    rows = settle(rows.filter("n_tokens > 0"))  # tokens are often counted in this very plan
     plan = settle(mixture(rows, most_repetition, least_entropy, budget))
-    rows = join_back(rows.filter("n_tokens > 0"), plan, ["domain"], "id", "inner")
+    rows = join_back(rows, plan, ["domain"], "id", "inner")
     read = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).filter("quota > 0")
     read = read.withColumn("key", permutation_key(F.col("epoch"), F.col("id"), seed)).withColumn("piece", F.substring("key", 1, BUCKET_DIGITS))
     pieces = read.groupBy("domain", "epoch", "piece").agg(F.sum("n_tokens").alias("tokens"))
