@@ -143,17 +143,15 @@ def blocks_of(page: str) -> list[Block]:
 def settle_labels(found: list[Block]) -> list[Block]:
     """Second pass: the good blocks. A short or near block inherits from its nearest decided neighbours: good beside
     good, bad between bad; between the two, near is good and short follows the nearer one."""
-    far = len(found) + 1
-
-    def nearest(order) -> dict[int, tuple[str, int]]:
-        sides, last = {}, None
+    def nearest(order, edge: int) -> dict[int, tuple[str, int]]:
+        sides, last = {}, ("bad", edge)  # the page's edges count as bad
         for i in order:
-            sides[i] = (last[0], abs(i - last[1])) if last else ("bad", far)
+            sides[i] = (last[0], abs(i - last[1]))
             if found[i].label in ("good", "bad"):
                 last = (found[i].label, i)
         return sides
 
-    before, after = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
+    before, after = nearest(range(len(found)), -1), nearest(range(len(found) - 1, -1, -1), len(found))
     kept = []
     for i, b in enumerate(found):
         left, right = before[i], after[i]
