@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,19 +40,20 @@ def local(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``. Only a
-    session on one machine that names none (a test) gets a temporary folder."""
+    """The folder every executor can reach, named by the cluster in ``spark.checkpoint.dir``. Only a session on one
+    machine that names none (a test) gets a temporary folder, one for the session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="sightline-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        shared = tempfile.mkdtemp(prefix="sightline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; a lost executor costs a re-read, not a re-run."""
     sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
