@@ -38,7 +38,6 @@ TEXT_DATE_PATTERNS = (
     rf"(?i)\b(\d{{1,2}}\s+(?:{MONTHS})\s+(?:19|20)\d{{2}})\b",
     rf"(?i)\b((?:{MONTHS})\s+\d{{1,2}},\s+(?:19|20)\d{{2}})\b",
 )
-TEXT_DATE_WINDOW = 3000
 TEXT_DATE_CONFIDENCE = 0.45
 MIN_IMAGE_SIDE = 100
 SOCIAL_IMAGE_KEYS = ("og:image", "og:image:url", "twitter:image", "twitter:image:src")
@@ -104,28 +103,28 @@ def title_tag(html: Column) -> Column:
 
 
 def title(html: Column, fallback: Column) -> Column:
-    """og:title, else the title tag, else the fallback; 200 characters."""
+    """og:title, else the title tag, else the fallback."""
     found = let(without_code(html), lambda body: first_nonblank(
         strip(meta_content(body, "og:title")), title_tag(body)))
-    return F.coalesce(F.substring(found, 1, 200), fallback)
+    return F.coalesce(found, fallback)
 
 
 def caption(html: Column) -> Column:
-    """og:description, else the description, else the body text; 400 characters."""
+    """og:description, else the description, else the body text."""
     def read(body):
         stated = F.coalesce(
             meta_content(body, "og:description"), meta_content(body, "description", ("name",)), F.lit(""))
         shown = F.regexp_replace(body, r"(?is)<(nav|footer|header)\b.*?</\1\s*>", " ")
         return first_nonblank(stated, F.regexp_replace(visible_text(shown, stripped=True), r"\s+", " "))
 
-    return F.coalesce(F.substring(let(without_code(html), read), 1, 400), F.lit(""))
+    return F.coalesce(let(without_code(html), read), F.lit(""))
 
 
 def title_v1(html: Column, url: Column) -> Column:
     """Earlier order: the title tag, then og:title, then the network location."""
     found = let(without_code(html), lambda body: first_nonblank(
         title_tag(body), strip(meta_content(body, "og:title"))))
-    return F.substring(F.coalesce(found, urls.netloc_of(url)), 1, 200)
+    return F.coalesce(found, urls.netloc_of(url))
 
 
 # ------------------------------------------------------------------------------------- JSON-LD
@@ -246,14 +245,14 @@ def tag_date_evidence(html: Column, as_of: Column) -> Column:
         F.size(tags_) > 0, first_of_each(F.array_compact(F.transform(tags_, described)))).otherwise(none))
 
 
-def text_date_evidence(html: Column, as_of: Column, window: int = TEXT_DATE_WINDOW) -> Column:
-    """The first readable date in the opening text: the last resort of a page that states none."""
+def text_date_evidence(html: Column, as_of: Column) -> Column:
+    """The first readable date in the visible text: the last resort of a page that states none."""
     def search(text):
         seen = F.array(*[F.regexp_replace(F.regexp_extract(text, p, 1), r"\s+", " ") for p in TEXT_DATE_PATTERNS])
         return F.get(F.array_compact(F.transform(
             F.filter(seen, lambda s: s != ""), lambda s: dates.parse_date(s, as_of))), F.lit(0))
 
-    date = let(F.substring(visible_text(html), 1, window), search)
+    date = let(visible_text(html), search)
     return dates.evidence(date, TEXT_DATE_CONFIDENCE, "text:pattern_match")
 
 

@@ -17,7 +17,6 @@ UNKNOWN_LABEL = "لا يمكن تحديد مصدر الصورة"
 TEXT_AI_LABEL, TEXT_HUMAN_LABEL = "نص مُولّد بالذكاء الاصطناعي", "نص بشري (غير مُولّد بالذكاء الاصطناعي)"
 MIN_TEXT = 250
 FLAG_SCORE = 0.5
-TRANSLATED_ITEMS = 60
 PEOPLE_KEPT, QUERIES_KEPT = 5, 2
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif")
 AUDIO_EXTENSIONS = ("mp3", "wav", "ogg", "m4a", "flac", "aac", "wma")
@@ -130,8 +129,8 @@ def analysis_rows(results: DataFrame) -> DataFrame:
         "is_ai_generated": pick("is_ai", "is_ai_generated").cast("boolean"),
         "confidence_ai": pick("confidence_ai", "confidence").cast("double"),
         "confidence_human": pick("confidence_human").cast("double"),
-        "verdict": blank_to_null(F.substring(F.coalesce("verdict", F.lit("")), 1, 100)),
-        "generator": blank_to_null(F.substring(F.coalesce("generator", F.lit("")), 1, 100)),
+        "verdict": blank_to_null(F.coalesce("verdict", F.lit(""))),
+        "generator": blank_to_null(F.coalesce("generator", F.lit(""))),
     })
 
 

@@ -17,7 +17,6 @@ FIRST_CLASS = 0.9
 BOUND_CONFIDENCE = 0.6
 CRAWL_BOUND_CONFIDENCE = 0.75
 TWEET_CONFIDENCE = 0.98
-SOURCES_KEPT = 6
 ARCHIVE_PREFIX = "https://web.archive.org/web/"
 # (attribute, value, evidence name, confidence) of the earlier, first-hit order
 V1_META = (
@@ -37,7 +36,6 @@ V1_FORMATS = (
     (r"^\d{1,2}-\d{1,2}-\d{4}$", ("d-M-yyyy", "M-d-yyyy")),
     (r"^\d{8}$", ("yyyyMMdd",)),
 )
-V1_TEXT_WINDOW = 2000
 V1_TEXT_PATTERNS = (
     r"\b(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2})", r"\b(\d{4}-\d{2}-\d{2})", r"\b(\d{1,2}/\d{1,2}/\d{4})",
 )
@@ -166,12 +164,13 @@ def crawl_bound(crawl_date: Column, as_of: Column) -> Column:
     ))
 
 
-def strongest_sources(evidence: Column, n: int = SOURCES_KEPT) -> Column:
-    """The ``n`` strongest evidence values; equals keep gathering order."""
+def strongest_sources(evidence: Column, n: int | None = None) -> Column:
+    """The evidence values, strongest first, or the ``n`` strongest; equals keep gathering order."""
     numbered = F.transform(evidence, lambda e, i: F.struct(
         (-e["confidence"]).alias("neg"), i.alias("i"), e.alias("e")
     ))
-    return F.transform(F.slice(F.array_sort(numbered), 1, n), lambda x: x["e"])
+    ordered = F.array_sort(numbered)
+    return F.transform(ordered if n is None else F.slice(ordered, 1, n), lambda x: x["e"])
 
 
 def date_pages(pages: DataFrame, as_of: Column) -> DataFrame:
@@ -289,7 +288,7 @@ def first_hit_date(url: Column, html: Column) -> Column:
             hit(time_value(times, "pubdate"), 0.75, "time:pubdate"),
             hit(item_value(body), 0.70, "itemprop:datePublished"),
             hit(in_path, 0.65, "url:path_date"),
-            let(F.substring(H.visible_text(body, stripped=True), 1, V1_TEXT_WINDOW), lambda t: F.coalesce(*[
+            let(H.visible_text(body, stripped=True), lambda t: F.coalesce(*[
                 hit(blank_to_null(F.regexp_extract(t, p, 1)), 0.50, "text:pattern_match") for p in V1_TEXT_PATTERNS
             ])),
         )

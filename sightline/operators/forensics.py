@@ -18,7 +18,6 @@ XMP_FIELDS = (
     ("history_software", r'(?is)stEvt:softwareAgent(?:="([^"]+)"|>\s*([^<]+)<)'),
     ("digital_source_type", r'(?is)DigitalSourceType(?:="([^"]+)"|>\s*([^<]+)<)'),
 )
-XMP_WINDOW = 200_000
 GENERATOR_NAMES = (
     "midjourney", "dall", "stable diffusion", "firefly", "openai", "gemini", "imagen", "leonardo", "ideogram",
     "flux", "trainedalgorithmicmedia",
@@ -45,7 +44,7 @@ def xmp_summary(content: Column) -> Column:
             F.instr(raw, "<x:xmpmeta"),
             F.when(F.instr(raw, "<x:xmpmeta") == 0, F.instr(raw, "<rdf:RDF")).otherwise(0),
         )
-        return let(F.when(at > 0, F.substring(raw, at, F.lit(XMP_WINDOW))), lambda chunk: F.struct(*[
+        return let(F.when(at > 0, F.substring(raw, at, F.length(raw))), lambda chunk: F.struct(*[
             _clean(F.coalesce(*[
                 blank_to_null(F.regexp_extract(chunk, p, i)) for i in ((1, 2) if "|" in p else (1,))
             ])).alias(name) for name, p in XMP_FIELDS

@@ -19,7 +19,6 @@ from sightline.operators.skew import salted_join, spread, top_rows
 SAME_PICTURE = 8
 PRIOR_SIGHTINGS, PRIOR_SIMILARITY = 5, 0.92
 NEAREST_DEFAULT, NEAREST_SIMILARITY = 5, 0.90
-NEWEST_ROWS = 10_000
 # ---------------------------------------------------------------------------------------------------
 BLOCK_ROWS = 512
 BLOCKS_PER_SALT = 64
@@ -258,11 +257,6 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
     return values.field("id").to_numpy(zero_copy_only=False), _unit(flat.reshape(len(vectors_), -1))
 
 
-def newest(index: DataFrame, rows: int = NEWEST_ROWS) -> DataFrame:
-    """The bounded window of the portable index scan, for callers whose results depend on it."""
-    return index.filter(F.col("embedding").isNotNull()).orderBy(F.desc("created_at"), F.col("media_hash")).limit(rows)
-
-
 def prior_sightings(queries: DataFrame, index: DataFrame) -> DataFrame:
     """What the index already knows about a picture: five nearest at .92, those with an origin link."""
     top = nearest(queries, index, PRIOR_SIGHTINGS, PRIOR_SIMILARITY)

@@ -28,8 +28,7 @@ def salted_join(
         .filter(F.col("_n") > rows_per_salt)
         .select(*keys, F.ceil(F.col("_n") / rows_per_salt).cast("int").alias("_salts"))
     )
-    # Hot keys number at most rows / rows_per_salt: a list that fits every executor.
-    hot = F.broadcast(hot)
+    # Whether the list of hot keys (at most rows / rows_per_salt) is broadcast is left to the optimizer's size check.
     left = many.join(hot, keys, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*spread), F.coalesce("_salts", F.lit(1))).cast("int")
     ).drop("_salts")
@@ -48,13 +47,14 @@ def distinct_count(df: DataFrame, group: Sequence[str], value: str | Column, nam
     )
 
 
-def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int, name: str = "_rn") -> DataFrame:
-    """The first ``k`` rows of each group. ``row_number <= k`` is planned with a group limit below the
+def top_rows(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int | None, name: str = "_rn") -> DataFrame:
+    """The first ``k`` rows of each group with their rank; all of them without ``k``. ``row_number <= k`` is planned with a group limit below the
     shuffle, so a hot group sends at most ``k`` rows per task."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).filter(F.col(name) <= k)
+    ranked = df.withColumn(name, F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col(name) <= k)
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Failure streaks, breaker states and cooldowns over landed calls.
+"""Failure streaks and cooldowns over landed calls.
 
 Order inside a provider matters, but a provider may own a third of all calls, so nothing runs over a
 whole provider: calls are cut into time chunks, streaks are found inside chunks and only the ones that
@@ -7,15 +7,10 @@ touch a chunk's edge are stitched across chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.operators.skew import spread
-from sightline.operators.usage import COOLDOWN_SECONDS, COOLDOWN_STATUSES, FAILURES_TO_OPEN, OPEN_SECONDS
-from sightline.session import cut_lineage
+from sightline.operators.usage import COOLDOWN_SECONDS, COOLDOWN_STATUSES, FAILURES_TO_OPEN
 
 CHUNK_SECONDS = 3600
 
@@ -66,82 +61,6 @@ def failure_streaks(
     return runs(calls, key, chunk_seconds).filter(F.col("length") >= threshold)
 
 
-def breaker_states(
-    calls: DataFrame, threshold: int = FAILURES_TO_OPEN, cooldown_s: int = OPEN_SECONDS, key: str = "provider",
-    chunk_seconds: int = CHUNK_SECONDS,
-) -> DataFrame:
-    """What a circuit breaker would have done with each attempted call: ``key, id, at, failed, rejected,
-    failures`` (the count after the call).
-
-    A breaker can only open at the ``threshold``-th failure of a raw run, so outside the zones
-    "long run plus cooldown" no call is rejected and the count is simply the place in the raw run. Only
-    calls inside a zone are walked one by one, zone by zone.
-    """
-    # Read three times below and far smaller than the calls: stored once.
-    all_runs = cut_lineage(runs(calls, key, chunk_seconds))
-    wait = F.make_interval(secs=F.lit(cooldown_s).cast("decimal(18,6)"))
-    long = all_runs.filter(F.col("length") >= threshold).select(
-        key, F.col("started_at").alias("z_from"), (F.col("ended_at") + wait).alias("z_to"))
-    w = Window.partitionBy(key).orderBy("z_from", "z_to")
-    open_until = F.max("z_to").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    zones = long.withColumn("new", F.coalesce(F.col("z_from") > open_until, F.lit(True)).cast("int")).withColumn(
-        "zone", F.sum("new").over(w)
-    ).groupBy(key, "zone").agg(F.min("z_from").alias("z_from"), F.max("z_to").alias("z_to"))
-
-    # A failing call belongs where its run began; the run is found through the chunks it covers.
-    def covered(df, start, end):
-        return df.withColumn("chunk", F.explode(F.sequence(
-            _chunk_of(F.col(start), chunk_seconds), _chunk_of(F.col(end), chunk_seconds))))
-
-    c = calls.withColumn("chunk", _chunk_of(F.col("at"), chunk_seconds)).select(key, "id", "at", "failed", "chunk")
-    r = covered(all_runs.select(key, "started_at", "first_id", "ended_at"), "started_at", "ended_at").select(
-        F.col(key).alias("rk"), F.col("chunk").alias("rc"), "started_at", "first_id", "ended_at")
-    inside = (F.col(key) == F.col("rk")) & (F.col("chunk") == F.col("rc")) & F.col("failed") & (
-        F.struct("at", "id") >= F.struct(F.col("started_at").alias("at"), F.col("first_id").alias("id"))
-    ) & (F.col("at") <= F.col("ended_at"))
-    placed = c.join(r, inside, "left").groupBy(key, "id", "at", "failed").agg(
-        F.max(F.struct("started_at", "first_id")).alias("run")
-    ).withColumn("key_at", F.coalesce("run.started_at", "at"))
-    placed = placed.withColumn("key_chunk", _chunk_of(F.col("key_at"), chunk_seconds))
-    z = covered(zones, "z_from", "z_to").select(F.col(key).alias("zk"), F.col("chunk").alias("zc"), "zone", "z_from", "z_to")
-    zoned = placed.join(
-        z, (F.col(key) == F.col("zk")) & (F.col("key_chunk") == F.col("zc"))
-        & F.col("key_at").between(F.col("z_from"), F.col("z_to")), "left"
-    ).select(key, "id", "at", "failed", "run", "zone")
-
-    place = F.row_number().over(Window.partitionBy(key, "run").orderBy("at", "id"))
-    calm_failed = zoned.filter(F.col("zone").isNull() & F.col("failed")).withColumn("failures", place)
-    calm_ok = zoned.filter(F.col("zone").isNull() & ~F.col("failed")).withColumn("failures", F.lit(0))
-    shape = [key, "id", "at", "failed", F.lit(False).alias("rejected"), F.col("failures").cast("int").alias("failures")]
-    types = dict(calls.dtypes)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Rows come sorted; the state crosses batches, so a zone of any length needs no gathering.
-        zone, failures, opened = None, 0, None
-        for pdf in batches:
-            out = []
-            for here, at, failed in zip(zip(pdf[key], pdf["zone"]), pdf["at"], pdf["failed"]):
-                if here != zone:
-                    zone, failures, opened = here, 0, None
-                rejected = False
-                if failures >= threshold:
-                    rejected = (at - opened).total_seconds() < cooldown_s
-                    failures = failures if rejected else 0
-                if not rejected:
-                    failures = failures + 1 if failed else 0
-                    opened = at if failures >= threshold else opened
-                out.append((rejected, failures))
-            if out:
-                pdf["rejected"], pdf["failures"] = zip(*out)
-                yield pdf[[key, "id", "at", "failed", "rejected", "failures"]]
-
-    schema = f"{key} {types[key]}, id {types['id']}, at timestamp, failed boolean, rejected boolean, failures int"
-    walked = spread(
-        zoned.filter(F.col("zone").isNotNull()).select(key, "zone", "id", "at", "failed"), key, "zone"
-    ).sortWithinPartitions(key, "zone", "at", "id").mapInPandas(walk, schema)
-    return calm_ok.select(*shape).unionByName(calm_failed.select(*shape)).unionByName(walked)
-
-
 def cooldown_audit(lookups: DataFrame, seconds: int = COOLDOWN_SECONDS, key: str = "provider") -> DataFrame:
     """Adds ``suppressed``: a refusal (429 or 503) happened less than ``seconds`` before this lookup.
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from sightline.functions.columns import let
 
 # --- Fixed values ----------------------------------------------------------------------------------
-MAX_DAYS = 365
 BUDGETS = (
     ("quick", "image", 45.0, 4, 24), ("quick", "video", 45.0, 4, 24),
     ("deep", "image", 150.0, 15, 90), ("deep", "video", 200.0, 22, 120),
@@ -21,7 +20,7 @@ CHUNK = 512
 
 
 def _since(days: int, as_of: Column) -> Column:
-    return F.col("created_at") >= as_of - F.make_interval(days=F.lit(min(days, MAX_DAYS)))
+    return F.col("created_at") >= as_of - F.make_interval(days=F.lit(days))
 
 
 def provider_usage(calls: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

@@ -1,8 +1,8 @@
 """Does a page show the picture? Verdicts from comparison tables.
 
 A comparison is one readable image of one page against the query: ``inv_id, page, pos, image_url,
-distance, similarity, same_scene, inliers`` and where it came from. Images per page are few by
-construction (:data:`PAGE_IMAGES` and friends), so windows over a page stay small; pages never meet.
+distance, similarity, same_scene, inliers`` and where it came from. Windows stay
+within one page.
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from sightline.operators.skew import top_rows
 SAME_DISTANCE = 8
 CONFIRM, AMBIGUOUS = 0.90, 0.75
 GEOMETRY_SIMILARITY, GEOMETRY_DISTANCE = 0.55, 26
-PAGE_CHECKS_AFTER_CLAIM = 3
-POST_FILTER_PAGES = 8
-PAGE_IMAGES, PLATFORM_IMAGES, ENGINE_THUMBS = 4, 4, 2
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -41,11 +38,12 @@ def band_verdict(
 
 def arbitrate(
     comparisons: DataFrame, confirm: float = CONFIRM, ambiguous: float = AMBIGUOUS,
+    checks_after_claim: int | None = None,
 ) -> DataFrame:
     """Page verdicts where engine thumbnails only claim and the page's own images decide.
 
-    An engine image that matches is a claim; a page image that matches confirms. After a claim at most
-    three more page images count. A claim contradicted by geometry on every page image seen becomes
+    An engine image that matches is a claim; a page image that matches confirms. With
+    ``checks_after_claim``, page images past so many no longer count after a claim. A claim contradicted by geometry on every page image seen becomes
     ambiguous. Without a claim the similarity bands decide.
 
     Input: ``inv_id, page, pos, image_url, from_engine, distance, similarity, same_scene, inliers``.
@@ -66,9 +64,9 @@ def arbitrate(
     })
     c = c.withColumn("_claim_pos", F.min(F.when(F.col("_claims"), F.col("pos"))).over(page))
     claimed = F.coalesce(F.col("_claim_pos") < F.col("pos"), F.lit(False))
-    c = c.withColumn("_stop", F.min(F.when(
-        claimed & own & (F.col("_own_no") > PAGE_CHECKS_AFTER_CLAIM), F.col("pos")
-    )).over(page)).filter(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
+    if checks_after_claim is not None:
+        c = c.withColumn("_stop", F.min(F.when(claimed & own & (F.col("_own_no") > checks_after_claim), F.col("pos"))).over(page)).filter(
+            F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
     judged = own & claimed | worth
     c = c.withColumns({
         "_confirms": own & (exact | (judged & scene)),
@@ -106,19 +104,18 @@ def arbitrate(
     )
 
 
-def page_image_evidence(comparisons: DataFrame) -> DataFrame:
+def page_image_evidence(comparisons: DataFrame, most: int | None = None) -> DataFrame:
     """Image evidence of each page: the platform's own media, then page images, then engine thumbnails.
 
     Thumbnails count only when no page image was judged different. Input: ``inv_id, page, level``
     (platform / page / engine_claim)``, pos`` (within the level, from 1)``, image_url, width, height,
-    distance, same_scene, inliers, frame``.
+    distance, same_scene, inliers, frame``. With ``most``, only so many images of a level are looked at.
     """
     keys = ["inv_id", "page"]
     rank = F.when(F.col("level") == "platform", 0).when(F.col("level") == "page", 1).otherwise(2)
-    room = F.when(rank == 0, PLATFORM_IMAGES).when(rank == 1, PAGE_IMAGES).otherwise(ENGINE_THUMBS)
     exact = F.coalesce(F.col("distance") <= SAME_DISTANCE, F.lit(False))
     matched = exact | F.coalesce(F.col("same_scene"), F.lit(False))
-    c = comparisons.filter(F.col("pos") <= room).withColumns({
+    c = (comparisons if most is None else comparisons.filter(F.col("pos") <= most)).withColumns({
         "_key": F.struct(rank.alias("rank"), F.col("pos")), "_matched": matched,
         "_differs": ~matched & (F.col("same_scene") == F.lit(False)) & (rank < 2),
     })
@@ -149,8 +146,8 @@ def page_image_evidence(comparisons: DataFrame) -> DataFrame:
     ).alias("image"))
 
 
-def post_filter(items: DataFrame, verdicts: DataFrame, pages: int = POST_FILTER_PAGES) -> DataFrame:
-    """The first ``pages`` items of an investigation carry a verdict and drop when rejected; the rest pass.
+def post_filter(items: DataFrame, verdicts: DataFrame, pages: int | None = None) -> DataFrame:
+    """Items carry a verdict and drop when rejected; with ``pages``, those past the first so many of an investigation pass.
 
     ``items``: ``inv_id, pos, url, ...``; ``verdicts``: ``inv_id, url, verdict``.
     """
@@ -163,7 +160,7 @@ def post_filter(items: DataFrame, verdicts: DataFrame, pages: int = POST_FILTER_
     )
 
 
-def post_filter_summary(items: DataFrame, verdicts: DataFrame, pages: int = POST_FILTER_PAGES) -> DataFrame:
+def post_filter_summary(items: DataFrame, verdicts: DataFrame, pages: int | None = None) -> DataFrame:
     first = top_rows(items.select("inv_id", "pos", "url"), ["inv_id"], [F.col("pos")], pages)
     j = first.join(verdicts.select("inv_id", "url", "verdict"), ["inv_id", "url"], "left")
     return j.groupBy("inv_id").agg(

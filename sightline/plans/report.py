@@ -18,8 +18,6 @@ from sightline.operators.skew import distinct_count, top_rows
 # --- Fixed values ----------------------------------------------------------------------------------
 ELIGIBLE_IMAGE = ("platform", "page")
 ELIGIBLE_DATE = ("platform_id", "structured")
-LEADS_SHOWN = 20
-SIMILAR_SHOWN = 120
 FACET_PAGE = 24
 AT_LEAST_SINCE = "على الأقل منذ "
 NO_DATE = "بدون تاريخ"
@@ -83,14 +81,14 @@ def timeline(sightings: DataFrame, ordered: bool = False) -> DataFrame:
     return shown.orderBy("inv_id", "order_key") if ordered else shown
 
 
-def leads(sightings: DataFrame, limit: int = LEADS_SHOWN) -> DataFrame:
-    """Timeline rows that are not eligible, the first ``limit`` in timeline order."""
+def leads(sightings: DataFrame, limit: int | None = None) -> DataFrame:
+    """Timeline rows that are not eligible, in timeline order; the first ``limit``, or all."""
     return top_rows(
         timeline(sightings).filter(~F.col("is_eligible")), ["inv_id"], [F.col("order_key")], limit, "lead_rank"
     )
 
 
-def similar_rows(candidates: DataFrame, sightings: DataFrame, as_of: Column, limit: int = SIMILAR_SHOWN) -> DataFrame:
+def similar_rows(candidates: DataFrame, sightings: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
     """What the engines returned and nothing confirmed, with a picture to judge by eye."""
     known = candidates if "canonical" in candidates.columns else candidates.withColumn(
         "canonical", urls.canonical(F.col("url"))
@@ -151,7 +149,7 @@ def public_item(df: DataFrame) -> DataFrame:
     domain = urls.domain_of(F.col("url"))
     return df.select(
         "inv_id", F.coalesce(blank_to_null(F.col("title")), domain).alias("title"), F.col("url").alias("link"),
-        blank_to_null(F.substring(F.coalesce("caption", F.lit("")), 1, 300)).alias("snippet"),
+        blank_to_null(F.coalesce("caption", F.lit(""))).alias("snippet"),
         F.coalesce(blank_to_null(F.col("image.matched_url")), F.get("thumbs", F.lit(0))).alias("thumbnail"),
         F.coalesce(
             day, F.concat(F.lit(AT_LEAST_SINCE), F.date_format(bound, "yyyy-MM-dd")), F.lit(NO_DATE)

@@ -400,7 +400,7 @@ def _text_sql(cut: str) -> str:
     return text
 
 
-@query(f"SELECT page_id, substr(regexp_replace({_text_sql('nav footer header')}, '\\s+', ' ', 'g'), 1, 400) AS caption FROM pages")
+@query(f"SELECT page_id, regexp_replace({_text_sql('nav footer header')}, '\\s+', ' ', 'g') AS caption FROM pages")
 def page_captions(spark, sf):
     return table(spark, sf, "pages").select("page_id", html.caption(F.col("html")).alias("caption"))
 
@@ -448,7 +448,7 @@ def candidates_rank_cap(spark, sf):
 
 @query(f"""
 WITH {PAGE_ROWS_SQL},
-norm AS (SELECT inv_id, pos, url, match, substr(title, 1, 200) AS title FROM page_rows WHERE (pos // 2) % 11 <> 0)
+norm AS (SELECT inv_id, pos, url, match, title FROM page_rows WHERE (pos // 2) % 11 <> 0)
 SELECT * FROM norm""")
 def candidates_normalise(spark, sf):
     """Raw engine rows to candidates; every eleventh page is given an engine's own address and drops out."""
@@ -484,7 +484,7 @@ def reverse_merge_v1(spark, sf):
 @query(V1_SQL + """,
 f AS (SELECT inv_id, link, arg_min(match_type, pos) AS match_type, min(pos) AS pos FROM r1 GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY CASE match_type WHEN 'exact' THEN 0 WHEN 'similar' THEN 1 ELSE 2 END, pos) AS rank FROM f)
-SELECT inv_id, link, match_type, rank FROM n WHERE rank <= 18""")
+SELECT inv_id, link, match_type, rank FROM n""")
 def candidate_cap_v1(spark, sf):
     return C.cap_links_v1(_v1_rows(spark, sf)).select("inv_id", "link", "match_type", "rank")
 
@@ -492,7 +492,7 @@ def candidate_cap_v1(spark, sf):
 @query(V1_SQL + """,
 f AS (SELECT inv_id, thumbnail, arg_min(link, pos) AS link, min(pos) AS pos FROM r1 WHERE thumbnail IS NOT NULL GROUP BY ALL),
 n AS (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY pos) AS rank FROM f)
-SELECT inv_id, thumbnail, link, regexp_extract(link, '^https://([^/]+)', 1) AS source, rank FROM n WHERE rank <= 24""")
+SELECT inv_id, thumbnail, link, regexp_extract(link, '^https://([^/]+)', 1) AS source, rank FROM n""")
 def gallery_v1(spark, sf):
     return C.gallery_v1(_v1_rows(spark, sf)).select("inv_id", "thumbnail", "link", "source", "rank")
 
@@ -500,7 +500,7 @@ def gallery_v1(spark, sf):
 @query(f"""
 WITH {SCORED_SQL},
 r AS (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY pos) AS n FROM merged),
-t AS (SELECT inv_id, canonical, list_slice(string_split(thumbs, ','), 1, 2) AS two FROM r WHERE n <= 250 AND thumbs <> ''),
+t AS (SELECT inv_id, canonical, string_split(thumbs, ',') AS two FROM r WHERE thumbs <> ''),
 u AS (SELECT inv_id, canonical, generate_subscripts(two, 1) AS slot, unnest(two) AS thumb FROM t),
 j AS (SELECT *, length(thumb) + CAST(regexp_extract(thumb, '/([0-9]+)', 1) AS BIGINT) % 37 AS h FROM u
       WHERE CAST(regexp_extract(thumb, '/([0-9]+)', 1) AS BIGINT) % 5 <> 0),
@@ -631,7 +631,7 @@ def timeline(spark, sf):
 @query(f"""
 WITH {SIGHTINGS_SQL},
 n AS (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY {ORDER_SQL}) AS lead_rank FROM flagged WHERE image_level <> 'none' AND NOT ok)
-SELECT inv_id, pos, lead_rank FROM n WHERE lead_rank <= 20""")
+SELECT inv_id, pos, lead_rank FROM n""")
 def leads(spark, sf):
     return R.leads(sightings(spark, sf)).select("inv_id", "pos", "lead_rank")
 
@@ -657,7 +657,7 @@ op AS (SELECT s.*, st.lvl FROM scored s LEFT JOIN st USING (inv_id, canonical)
 n AS (SELECT *, row_number() OVER (PARTITION BY inv_id ORDER BY
   CASE match WHEN 'exact' THEN 0 WHEN 'page' THEN 1 WHEN 'similar' THEN 2 WHEN 'text' THEN 3 ELSE 9 END,
   CASE WHEN date_hint = '' THEN '9999' ELSE date_hint END, pos) AS similar_rank FROM op),
-sim AS (SELECT * FROM n WHERE similar_rank <= 120)"""
+sim AS (SELECT * FROM n)"""
 
 
 def _page_sightings(merged):

@@ -63,11 +63,6 @@ def live_rate_limit(spark, sf):
     return b.withColumn("window_start", F.date_format("window_start", TS))
 
 
-def live_breaker(spark, sf):
-    s = _event_stream(spark, sf).select("provider", "id", F.col("created_at").alias("at"), usage.is_failure(F.col("status_code")).alias("failed"))
-    return _run(live.live_breaker(s, 3, 7200)).select("provider", "id", "rejected", "failures")
-
-
 def live_cooldown(spark, sf):
     s = _event_stream(spark, sf).select("provider", "id", F.col("created_at").alias("at"), "status_code")
     return _run(live.live_cooldown(s)).select("id", "suppressed")
@@ -100,8 +95,7 @@ def live_signature_ingest(spark, sf):
 
 
 for _name, _fn, _twin in (
-    ("live_rate_limit", live_rate_limit, "rate_limit_day"), ("live_breaker", live_breaker, "breaker_state"),
-    ("live_cooldown", live_cooldown, "cooldown_audit"),
+    ("live_rate_limit", live_rate_limit, "rate_limit_day"), ("live_cooldown", live_cooldown, "cooldown_audit"),
 ):
     query(SQL[_twin], _name)(_fn)
 

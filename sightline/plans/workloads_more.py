@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import urls, vectors
 from sightline.operators import candidates as C
-from sightline.operators import catalog, detection, forensics, geometry, images, similarity, streaks, usage, verdicts
+from sightline.operators import catalog, detection, forensics, images, similarity, streaks, usage, verdicts
 from sightline.plans.readings import (
     CALLS_AS_OF, CALLS_SQL, PAGE_ROWS_SQL, SIGHTINGS_SQL, as_of, calls, page_rows, sightings,
 )
@@ -192,12 +192,12 @@ walk AS (
     CASE WHEN distance > 8 THEN similarity END AS best, CASE WHEN distance > 8 AND worth THEN inliers ELSE -1 END AS gi, CASE WHEN distance > 8 AND worth THEN same_scene END AS gs
   FROM (SELECT *, coalesce(similarity >= 0.55 OR (similarity IS NULL AND distance <= 26), false) AS worth, coalesce(same_scene, false) AS scene FROM o) WHERE k = 1
   UNION ALL
-  SELECT w.page, o.k, w.stop OR (w.claim IS NOT NULL AND NOT o.from_engine AND w.own >= 3),
+  SELECT w.page, o.k, w.stop,
     CASE WHEN w.claim IS NULL AND NOT w.stop AND o.from_engine AND (o.distance <= 8 OR (worth AND scene)) THEN CASE WHEN o.distance <= 8 THEN 'exact' ELSE 'variant' END ELSE w.claim END,
-    CASE WHEN w.hit IS NULL AND NOT w.stop AND NOT (w.claim IS NOT NULL AND NOT o.from_engine AND w.own >= 3) AND NOT o.from_engine AND (o.distance <= 8 OR ((worth OR w.claim IS NOT NULL) AND scene))
+    CASE WHEN w.hit IS NULL AND NOT w.stop AND NOT o.from_engine AND (o.distance <= 8 OR ((worth OR w.claim IS NOT NULL) AND scene))
       THEN CASE WHEN o.distance <= 8 THEN 'exact' ELSE 'variant' END ELSE w.hit END,
-    w.own + CASE WHEN w.stop OR w.hit IS NOT NULL OR o.from_engine OR (w.claim IS NOT NULL AND w.own >= 3) THEN 0 ELSE 1 END,
-    w.no + CASE WHEN NOT w.stop AND NOT (w.claim IS NOT NULL AND w.own >= 3) AND NOT o.from_engine AND o.distance > 8 AND (worth OR w.claim IS NOT NULL) AND o.same_scene = false THEN 1 ELSE 0 END,
+    w.own + CASE WHEN w.stop OR w.hit IS NOT NULL OR o.from_engine THEN 0 ELSE 1 END,
+    w.no + CASE WHEN NOT w.stop AND NOT o.from_engine AND o.distance > 8 AND (worth OR w.claim IS NOT NULL) AND o.same_scene = false THEN 1 ELSE 0 END,
     CASE WHEN w.stop OR o.distance <= 8 THEN w.best ELSE greatest(w.best, o.similarity) END,
     CASE WHEN NOT w.stop AND o.distance > 8 AND worth AND o.inliers > w.gi THEN o.inliers ELSE w.gi END,
     CASE WHEN NOT w.stop AND o.distance > 8 AND worth AND o.inliers > w.gi THEN o.same_scene ELSE w.gs END
@@ -219,7 +219,7 @@ WITH {CMP_SQL},
 lv AS (SELECT *, CASE WHEN pos // 100000000 <= 2 THEN 'engine_claim' WHEN pos // 100000000 <= 4 THEN 'platform' ELSE 'page' END AS level FROM cmp),
 nn AS (SELECT *, row_number() OVER (PARTITION BY page, level ORDER BY pos) AS n FROM lv),
 m AS (SELECT *, CASE level WHEN 'platform' THEN 0 WHEN 'page' THEN 1 ELSE 2 END AS lr, distance <= 8 OR coalesce(same_scene, false) AS hit,
-   NOT (distance <= 8) AND coalesce(same_scene = false, false) AND level <> 'engine_claim' AS dif FROM nn WHERE n <= CASE level WHEN 'engine_claim' THEN 2 ELSE 4 END),
+   NOT (distance <= 8) AND coalesce(same_scene = false, false) AND level <> 'engine_claim' AS dif FROM nn),
 d AS (SELECT *, bool_or(dif) OVER (PARTITION BY page) AS contra FROM m),
 k AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY lr, n) AS c FROM d WHERE NOT (level = 'engine_claim' AND contra)),
 f AS (SELECT page, arg_min(level, c) FILTER (hit) AS level, arg_min(CASE WHEN distance <= 8 THEN 'exact' ELSE 'variant' END, c) FILTER (hit) AS kind,
@@ -248,7 +248,7 @@ def _post(spark, sf):
     return s, v
 
 
-@query(POST_SQL + " SELECT inv_id, pos, CASE WHEN r <= 8 THEN verdict END AS verdict FROM v WHERE r > 8 OR verdict <> 'rejected'")
+@query(POST_SQL + " SELECT inv_id, pos, verdict FROM v WHERE verdict <> 'rejected'")
 def visual_post_filter(spark, sf):
     s, v = _post(spark, sf)
     return verdicts.post_filter(s, v).select("inv_id", "pos", "verdict")
@@ -256,13 +256,13 @@ def visual_post_filter(spark, sf):
 
 @query(POST_SQL + """
 SELECT inv_id, count(*) AS checked, count(*) FILTER (verdict = 'rejected') AS rejected, count(*) FILTER (verdict = 'confirmed') AS confirmed,
-  count(*) FILTER (verdict = 'ambiguous') AS ambiguous FROM v WHERE r <= 8 GROUP BY 1""")
+  count(*) FILTER (verdict = 'ambiguous') AS ambiguous FROM v GROUP BY 1""")
 def post_filter_summary(spark, sf):
     return verdicts.post_filter_summary(*_post(spark, sf))
 
 
 @query(POST_SQL + """
-SELECT inv_id, strftime(min(when_at), '%Y-%m-%d %H:%M:%S') AS first_published_at, count(*) AS checked FROM v WHERE r > 8 OR verdict <> 'rejected' GROUP BY 1""")
+SELECT inv_id, strftime(min(when_at), '%Y-%m-%d %H:%M:%S') AS first_published_at, count(*) AS checked FROM v WHERE verdict <> 'rejected' GROUP BY 1""")
 def first_seen_after_filter(spark, sf):
     from sightline.plans import report as R
 
@@ -273,41 +273,15 @@ def first_seen_after_filter(spark, sf):
 
 # ------------------------------------------------------------------------------------------ pictures
 
-def _pictures(spark, sf):
-    """Each 64-value vector as an 8 x 8 grey picture, enlarged six times, in the image source's layout."""
-    e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + x * 400))).cast("bigint")), 2, "0"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(
-        F.array_join(F.transform(F.slice(grey, r * 8 + 1, 8), lambda p: F.repeat(p, F.lit(6))), ""), F.lit(6)))
-    return e.select("vec_id", F.struct(
-        F.concat(F.lit("mem:"), "vec_id").alias("origin"), F.lit(48).alias("height"), F.lit(48).alias("width"), F.lit(1).alias("nChannels"),
-        F.lit(0).alias("mode"), F.unhex(F.array_join(rows, "")).alias("data")).alias("image"))
-
-
-@query()
-def image_signatures(spark, sf):
-    return images.signatures(_pictures(spark, sf)).select("vec_id", "phash", "dhash", "width", "height")
-
-
 @query()
 def keyframes(spark, sf):
-    """Ten vectors make a clip; its features come from the derived pictures."""
-    f = _pictures(spark, sf).withColumn("f", images.frame_features("image")).select(
-        F.floor(F.col("vec_id") / 10).alias("video_id"), (F.col("vec_id") % 10).alias("frame_no"), "f.*")
-    return images.select_keyframes(cut_lineage(f), 4)
-
-
-@query()
-def screenshot_regions(spark, sf):
-    """The derived pictures enlarged to screen size under a light band."""
+    """Ten vectors make a clip. The hash of a frame is its vector's signs; contrast and sharpness are sums over it."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    grey = F.transform("embedding", lambda x: F.lpad(F.hex(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.lit(128) + x * 400))).cast("bigint")), 2, "0"))
-    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(
-        F.array_join(F.transform(F.slice(grey, r * 8 + 1, 8), lambda p: F.repeat(p, F.lit(30))), ""), F.lit(30)))
-    data = F.unhex(F.concat(F.repeat(F.lit("FA"), F.lit(240 * 120)), F.array_join(rows, "")))
-    pics = e.select("vec_id", F.struct(F.lit("m").alias("origin"), F.lit(360).alias("height"), F.lit(240).alias("width"),
-                                       F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), data.alias("data")).alias("image"))
-    return pics.withColumn("box", images.screenshot_region("image")).select("vec_id", "box.*")
+    phash = F.aggregate("embedding", F.lit(0).cast("bigint"), lambda a, x: F.shiftleft(a, 1).bitwiseOR((x > 0).cast("bigint")))
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x))
+    f = e.select(F.floor(F.col("vec_id") / 10).alias("video_id"), (F.col("vec_id") % 10).alias("frame_no"), phash.alias("phash"),
+                 (total * 10).alias("std"), (F.abs(F.get("embedding", F.lit(0))) * 1000).alias("sharpness"))
+    return images.select_keyframes(cut_lineage(f), 4)
 
 
 @query("""
@@ -385,20 +359,6 @@ def later_round_calls(spark, sf):
     return C.later_round_calls(c, budgets, 2).groupBy("inv_id").agg(F.count(F.lit(1)).alias("calls"))
 
 
-@query()
-def scene_geometry(spark, sf):
-    """Matched points per order: a shifted copy for even orders, unrelated points for odd ones."""
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    pair = F.floor(F.col("l_orderkey") / 20)
-    xa, ya = (F.col("l_partkey") * 37 % 800).cast("float"), (F.col("l_suppkey") * 91 % 600 + F.col("l_quantity") * 3).cast("float")
-    even = pair % 2 == 0
-    pts = li.select(pair.alias("pair_id"), xa.alias("xa"), ya.alias("ya"),
-                    F.when(even, xa * 0.9 + 12).otherwise((F.col("l_extendedprice") * 7 % 800).cast("float")).cast("float").alias("xb"),
-                    F.when(even, ya * 0.9 + 5).otherwise((F.col("l_extendedprice") * 13 % 600).cast("float")).cast("float").alias("yb"))
-    m = pts.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("xa", "ya", "xb", "yb"))).alias("m")).select(
-        "pair_id", *[F.col(f"m.{c}").alias(c) for c in ("xa", "ya", "xb", "yb")], F.lit(True).alias("judgeable"))
-    return geometry.judge_matches(m)
-
 
 @query("""
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Midjourney v6' ELSE 'Photo Editor' END AS tool, source AS credit,
@@ -520,7 +480,7 @@ def cache_split(spark, sf):
 
 
 @query("""
-SELECT c_custkey, c_custkey % 2 = 0 AS is_ai, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS confidence, nullif(substr(repeat(c_name, 8), 1, 100), '') AS verdict FROM customer""")
+SELECT c_custkey, c_custkey % 2 = 0 AS is_ai, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal END AS confidence, nullif(repeat(c_name, 8), '') AS verdict FROM customer""")
 def analysis_rows(spark, sf):
     c = table(spark, sf, "customer")
     r = c.select("c_custkey", F.when(F.col("c_custkey") % 4 < 2, F.col("c_custkey") % 2 == 0).alias("is_ai"), (F.col("c_custkey") % 2 == 0).alias("is_ai_generated"),
@@ -703,21 +663,6 @@ def failure_streaks(spark, sf):
     return s.select("provider", "first_id", "length", F.date_format("started_at", TS).alias("started_at"), F.date_format("ended_at", TS).alias("ended_at"))
 
 
-@query(f"""
-WITH RECURSIVE {CALLS_SQL},
-o AS (SELECT provider, id, created_at AS t, status_code >= 500 AS failed, row_number() OVER (PARTITION BY provider ORDER BY created_at, id) AS k FROM calls),
-w AS (
-  SELECT provider, id, k, false AS rejected, CASE WHEN failed THEN 1 ELSE 0 END AS failures, NULL::TIMESTAMP AS opened FROM o WHERE k = 1
-  UNION ALL
-  SELECT provider, id, k, rejected, CASE WHEN rejected THEN base ELSE CASE WHEN failed THEN base + 1 ELSE 0 END END,
-    CASE WHEN NOT rejected AND failed AND base + 1 >= 3 THEN t ELSE opened END
-  FROM (SELECT o.provider, o.id, o.k, o.t, o.failed, w.opened, w.failures >= 3 AND o.t < w.opened + INTERVAL 2 HOURS AS rejected,
-     CASE WHEN w.failures >= 3 AND NOT (o.t < w.opened + INTERVAL 2 HOURS) THEN 0 ELSE w.failures END AS base
-     FROM w JOIN o ON o.provider = w.provider AND o.k = w.k + 1))
-SELECT provider, id, rejected, failures FROM w""")
-def breaker_state(spark, sf):
-    return streaks.breaker_states(_attempts(spark, sf), 3, 7200).select("provider", "id", "rejected", "failures")
-
 
 @query(f"""
 WITH {CALLS_SQL}
@@ -849,7 +794,7 @@ def vision_youtube_flatten(spark, sf):
 
 
 @query("""
-SELECT 'r' || (page_id // 10) AS search_id, substr(url, 1, 2000) AS url, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'T' || page_id END AS title, page_id % 10 AS rank FROM pages WHERE page_id % 4 > 0""")
+SELECT 'r' || (page_id // 10) AS search_id, url, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'T' || page_id END AS title, page_id % 10 AS rank FROM pages WHERE page_id % 4 > 0""")
 def search_results(spark, sf):
     p = table(spark, sf, "pages").select("page_id", "url")
     g = p.groupBy(F.floor(F.col("page_id") / 10).alias("g")).agg(F.array_sort(F.collect_list(F.struct("page_id", "url"))).alias("i"))

@@ -15,7 +15,6 @@ from sightline.functions.columns import blank_to_null, first_nonblank, let, stri
 # --- Fixed values ----------------------------------------------------------------------------------
 NO_RESULTS_MARK = "hasn't returned any results"
 TINEYE_IMAGE = r"(?i)\.(jpe?g|png|webp|gif|avif)(\?|$)"
-HARVESTED_LINKS = 20
 OWN_ANSWER_HOST = "x.ai"
 POSTER_SIZES = ("high", "medium", "default")
 # ---------------------------------------------------------------------------------------------------
@@ -251,8 +250,7 @@ def harvest_links(responses: DataFrame) -> DataFrame:
     ))).otherwise(F.regexp_extract_all(F.to_json(i), F.lit(r"(https?://[^\s\"'<>\\]+)"), F.lit(1)))))
     written = F.regexp_extract_all(text, F.lit(r"(https?://[^\s\"'<>)\]]+)"), F.lit(1))
     bare = F.transform(F.array_compact(F.concat(listed, written)), lambda u: F.regexp_replace(u, "[.,;]+$", ""))
-    links = F.slice(F.array_distinct(F.filter(
-        bare, lambda u: (u != "") & ~F.contains(u, F.lit(OWN_ANSWER_HOST)))), 1, HARVESTED_LINKS)
+    links = F.array_distinct(F.filter(bare, lambda u: (u != "") & ~F.contains(u, F.lit(OWN_ANSWER_HOST))))
     return _parsed(responses).select("inv_id", text.alias("text"), links.alias("links"))
 
 

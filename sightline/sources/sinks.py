@@ -9,7 +9,6 @@ from sightline.functions import vectors
 from sightline.functions.columns import blank_to_null
 
 # --- Fixed values ----------------------------------------------------------------------------------
-URL_CUT, TITLE_CUT, REF_URL_CUT = 2000, 500, 500
 VECTOR_DIGITS = 6
 # ---------------------------------------------------------------------------------------------------
 
@@ -26,8 +25,8 @@ def search_results(searches: DataFrame) -> DataFrame:
     """
     rows = searches.select(F.col("id").alias("search_id"), F.posexplode("results").alias("rank", "r"))
     return rows.filter(F.coalesce("r.url", F.lit("")) != "").select(
-        "search_id", F.substring("r.url", 1, URL_CUT).alias("url"),
-        blank_to_null(F.substring(F.coalesce("r.title", F.lit("")), 1, TITLE_CUT)).alias("title"),
+        "search_id", F.col("r.url").alias("url"),
+        blank_to_null(F.coalesce("r.title", F.lit(""))).alias("title"),
         F.col("r.snippet").alias("snippet"), blank_to_null(F.col("r.thumbnail")).alias("thumbnail_url"),
         blank_to_null(F.col("r.domain")).alias("domain"), F.col("r.published_at").alias("published_at"),
         F.col("r.confidence").alias("confidence"), "rank",
@@ -50,6 +49,6 @@ def new_signatures(incoming: DataFrame, index: DataFrame, at: Column, model: str
         vectors.rounded(F.col("embedding"), VECTOR_DIGITS).cast("array<float>").alias("embedding"),
         F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dim"),
         F.when(F.col("embedding").isNotNull(), F.lit(model)).alias("model"), "source",
-        blank_to_null(F.substring(F.coalesce("ref_url", F.lit("")), 1, REF_URL_CUT)).alias("ref_url"),
+        blank_to_null(F.coalesce("ref_url", F.lit(""))).alias("ref_url"),
         at.alias("created_at"),
     )

@@ -45,43 +45,7 @@ def live_paid_limits(requests: DataFrame, lateness: str = LATENESS) -> tuple[Dat
     )
 
 
-# ------------------------------------------------------------------------------- breaker and cooldown
-
-_STATE = "failures int, opened_at timestamp"
-_OUT = "provider string, id bigint, at timestamp, failed boolean, rejected boolean, failures int"
-
-
-def _breaker(threshold: int, cooldown_s: int) -> Callable:
-    def run(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, opened = state.get if state.exists else (0, None)
-        # A trigger's rows of one provider arrive in several Arrow batches without order.
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        out = []
-        for at, failed in zip(rows["at"], rows["failed"]):
-            rejected = False
-            if failures >= threshold:
-                rejected = (at - opened).total_seconds() < cooldown_s
-                failures = failures if rejected else 0
-            if not rejected:
-                failures = failures + 1 if failed else 0
-                opened = at if failures >= threshold else opened
-            out.append((rejected, failures))
-        state.update((int(failures), opened))
-        rows["rejected"], rows["failures"] = zip(*out)
-        yield rows[["provider", "id", "at", "failed", "rejected", "failures"]]
-
-    return run
-
-
-def live_breaker(calls: DataFrame, threshold: int = FAILURES_TO_OPEN, cooldown_s: int = OPEN_SECONDS) -> DataFrame:
-    """Breaker decision per attempted call; the state is one count and one time per provider.
-
-    A trigger holds a bounded slice of the stream (set ``maxFilesPerTrigger`` or ``maxOffsetsPerTrigger``).
-    ``calls``: ``provider, id, at, failed``.
-    """
-    return calls.select("provider", "id", "at", "failed").groupBy("provider").applyInPandasWithState(
-        _breaker(threshold, cooldown_s), _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
-
+# ------------------------------------------------------------------------------------------ cooldown
 
 def _cooldown(seconds: int) -> Callable:
     def run(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -1,4 +1,4 @@
-"""Budgets, streaks, breaker states and the live forms against sequential rules."""
+"""Budgets, streaks and the live forms against sequential rules."""
 
 import datetime as dt
 
@@ -52,20 +52,6 @@ def test_budget_cases(spark):
     assert {(r["mode"], r.kind): (r.seconds, r.credits, r.pages) for r in usage.budget_table(spark).collect()}[("deep", "video")] == (200.0, 22, 120)
 
 
-def walk_breaker(calls, threshold, cooldown):
-    failures, opened, out = 0, None, {}
-    for i, at, failed in calls:
-        rejected = False
-        if failures >= threshold:
-            rejected = (at - opened).total_seconds() < cooldown
-            failures = failures if rejected else 0
-        if not rejected:
-            failures = failures + 1 if failed else 0
-            opened = at if failures >= threshold else opened
-        out[i] = (rejected, failures)
-    return out
-
-
 def attempts(seed, n, p_fail, gap):
     rng = np.random.default_rng(seed)
     at, state, out = T0, False, []
@@ -80,10 +66,10 @@ SCHEMA = "provider string, id long, at timestamp, failed boolean"
 
 
 @pytest.mark.parametrize("chunk", [30, 3600])
-def test_streaks_and_breaker_equal_sequential_rules(spark, chunk):
+def test_streaks_equal_sequential_rules(spark, chunk):
     rows = [r for s, (p, g) in enumerate([(0.1, 20), (0.5, 60), (0.9, 10), (0.0, 100)]) for r in attempts(s, 150, p, g)]
     df = spark.createDataFrame(rows, SCHEMA)
-    want_runs, want_states = set(), {}
+    want_runs = set()
     for s in range(4):
         mine = [r for r in rows if r[0] == f"p{s}"]
         run = []
@@ -93,13 +79,8 @@ def test_streaks_and_breaker_equal_sequential_rules(spark, chunk):
             elif run:
                 want_runs.add((run[0][0], run[0][1], len(run), run[-1][2]))
                 run = []
-        for i, v in walk_breaker([r[1:] for r in mine], 3, 60).items():
-            want_states[(f"p{s}", i)] = v
     got = {(r.provider, r.first_id, r.length, r.ended_at) for r in streaks.runs(df, chunk_seconds=chunk).collect()}
     assert got == want_runs
-    states = streaks.breaker_states(df, 3, 60, chunk_seconds=chunk).collect()
-    assert len(states) == len(rows)
-    assert {(r.provider, r.id): (r.rejected, r.failures) for r in states} == want_states
 
 
 def stream(spark, rows, schema, folder, parts=3):
@@ -115,15 +96,6 @@ def drain(df, name, mode="append", writer=None):
     assert w.exception() is None
 
 
-def test_live_breaker_equals_batch(spark, tmp_path):
-    rows = attempts(7, 120, 0.5, 30)
-    drain(live.live_breaker(stream(spark, rows, SCHEMA, tmp_path / "in"), 3, 60), "breaker_out")
-    got = {r.id: (r.rejected, r.failures) for r in spark.table("breaker_out").collect()}
-    assert got == walk_breaker([r[1:] for r in rows], 3, 60)
-    batch = {r.id: (r.rejected, r.failures) for r in streaks.breaker_states(spark.createDataFrame(rows, SCHEMA), 3, 60).collect()}
-    assert got == batch
-
-
 def test_live_usage_and_limits_equal_batch(spark, tmp_path):
     schema = "id long, provider string, ok boolean, latency_ms double, created_at timestamp, caller string"
     rows = [(n, f"p{n % 2}", n % 5 > 0, float(n), T0 + dt.timedelta(seconds=20 * n), f"user:{n % 3}") for n in range(90)]

@@ -41,7 +41,7 @@ def test_filters_reach_the_scan(spark, tmp_path):
 
 
 def test_caps_are_limited_before_the_shuffle(spark):
-    d = R.leads(workloads_sightings(spark))
+    d = R.leads(workloads_sightings(spark), 20)
     assert plan(d).count("WindowGroupLimit") == 2
     assert "Python" not in plan(d)
 
