@@ -19,7 +19,7 @@ SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
 #: more selective and more numerous: raise them with the number of texts.
 PARTS, LEFT_OUT = 3, 1
 SIGNATURE_ROWS = 1 << 16  # signatures in one Arrow batch, about
-FEWEST_PARTS, MOST_PARTS = 32, 1 << 14   # of a profile; about four shingles a part
+FEWEST_PARTS, MOST_PARTS = 32, 1 << 16   # of a profile; one or two parts a shingle
 BLOCK_MEMBERS = 512       # of a hub's members that meet in one task
 # ---------------------------------------------------------------------------------------------------
 
@@ -141,7 +141,7 @@ def _stars(signed: DataFrame) -> DataFrame:
 def profile(features: np.ndarray) -> bytes:
     """How many features of a set lie in each part of the domain, one byte a part; 255 stands for any larger number.
     The number of parts is a power of two that follows the size, so similar sets have as many, or half or twice."""
-    parts = min(MOST_PARTS, max(FEWEST_PARTS, 1 << (max(1, len(features)) // 4).bit_length()))
+    parts = min(MOST_PARTS, max(FEWEST_PARTS, 1 << len(features).bit_length()))
     return np.minimum(np.bincount((features & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
 
 
