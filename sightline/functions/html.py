@@ -49,7 +49,6 @@ ENTITIES = (
 )
 _JSONLD = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"
 _STYLES_AND_SCRIPTS = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-JSONLD_DEPTH = 4
 
 
 def unescape(text: Column) -> Column:
@@ -147,18 +146,27 @@ def jsonld_objects(html: Column) -> Column:
     return F.flatten(F.transform(_jsonld_parsed(html), _variant_items))
 
 
-def jsonld_items(html: Column, depth: int = JSONLD_DEPTH) -> Column:
-    """Every JSON-LD object of a page: arrays and ``@graph`` lists are opened ``depth`` levels down."""
-    parsed = _jsonld_parsed(html)
+def jsonld_items(html: Column) -> Column:
+    """Every JSON-LD value of a page, arrays and ``@graph`` lists opened at whatever depth they lie.
 
-    def opened(items):
-        return let(F.flatten(F.transform(items, _variant_items)), lambda lists: F.concat(
-            lists, F.flatten(F.transform(lists, lambda v: F.coalesce(
-                F.try_variant_get(v, "$['@graph']", "array<variant>"), F.array().cast("array<variant>"))))))
+    Each step opens what the step before has found, until nothing is left to open. A level needs a bracket
+    of its own, so the brackets of the bodies are steps enough; steps with nothing open do nothing.
+    """
+    none = F.array().cast("array<variant>")
+
+    def lists_in(v):
+        return F.coalesce(
+            F.try_variant_get(v, "$['@graph']", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), none)
+
+    def step(state, _):
+        items = F.flatten(F.transform(state["open"], _variant_items))
+        deeper = let(items, lambda seen: F.struct(
+            F.flatten(F.transform(seen, lists_in)).alias("open"), F.concat(state["found"], seen).alias("found")))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(deeper)
 
-    for _ in range(depth):
-        parsed = opened(parsed)
-    return parsed
+    levels = F.regexp_count(F.array_join(jsonld_bodies(html), " "), F.lit(r"\[")) + 1
+    start = F.struct(_jsonld_parsed(html).alias("open"), none.alias("found"))
+    return F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda state: state["found"])
 
 
 def _read_stated(stated: Column, as_of: Column) -> Column:

@@ -105,9 +105,11 @@ def history_page(rows: DataFrame, owner: str, limit: int = 50, offset: int = 0,
 
 
 def history_pages(rows: DataFrame, limit: int = 50, offset: int = 0, owner: str = "user_id") -> DataFrame:
-    """The same page for every owner at once."""
+    """The same page for every owner at once, with ``total``, the number of the owner's rows."""
     last = offset + limit
-    return top_rows(rows, [owner], [F.desc("created_at"), F.desc("id")], last, "place").filter(F.col("place") > offset)
+    page = top_rows(rows, [owner], [F.desc("created_at"), F.desc("id")], last, "place").filter(F.col("place") > offset)
+    totals = rows.groupBy(F.col(owner).alias("_owner")).agg(F.count(F.lit(1)).alias("total"))
+    return page.join(totals, F.col(owner).eqNullSafe(F.col("_owner"))).drop("_owner")
 
 
 def file_page(

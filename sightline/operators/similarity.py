@@ -156,16 +156,16 @@ def nearest(
     ``|angle(q,p) - angle(x,p)| <= a`` and ``angle(q,p) <= min angle(q,.) + 2a`` (triangle inequality),
     so q meets only those rings by an equi-join. Inside a ring, blocks of vectors are multiplied as
     matrices and each block pair emits at most k rows per query. The answer is exact; ``probe_cells``
-    limits a query to its nearest cells for the approximate form.
+    limits a query to its nearest cells for the approximate form. With a floor of 0.5 or less the triangle
+    inequality could skip no ring, the work would be that of all pairs, and the call is refused.
 
     ``fold_copies`` keeps the k smallest ids of identical vectors, which no top-k answer can exceed.
     """
     reach = math.acos(max(-1.0, min(1.0, min_similarity))) + 1e-6
-    # With a floor this low no ring can be skipped: one cell, and the blocks do the spreading.
-    pivots = _pivots(index, PIVOTS if reach < math.pi / 3 else 1)
-    width = reach if reach < math.pi / 3 else 4.0
-    n = len(pivots)
-    if n == 0:
+    if reach >= math.pi / 3:
+        raise ValueError("min_similarity must be above 0.5: below it every pair would be compared")
+    pivots, width = _pivots(index, PIVOTS), reach
+    if len(pivots) == 0:
         return queries.select("query_id", F.lit("").alias("media_hash"), F.lit(0.0).alias("similarity"),
                               F.lit(1).alias("rank")).limit(0)
     kept = index.select("media_hash", "embedding").filter(F.col("embedding").isNotNull())
@@ -191,17 +191,10 @@ def nearest(
             ])
         return pd.Series(out)
 
-    def only(id_col):
-        # Always cell 0, but not a constant to the optimizer, so the joins below stay equi-joins.
-        zero = F.pmod(F.xxhash64(id_col), F.lit(1)).cast("int")
-        return F.struct(zero.alias("cell"), zero.alias("ring"))
-
-    placed = place("embedding") if n > 1 else only("media_hash")
-    probed = F.explode(probe("embedding")) if n > 1 else only("query_id")
     cell = ["cell", "ring"]
-    held = kept.withColumn("p", placed).select("media_hash", "embedding", "p.cell", "p.ring")
+    held = kept.withColumn("p", place("embedding")).select("media_hash", "embedding", "p.cell", "p.ring")
     asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).withColumn(
-        "p", probed
+        "p", F.explode(probe("embedding"))
     ).select("query_id", "embedding", "p.cell", "p.ring")
     held_cells, asked_cells = _cells(held, "held_blocks"), _cells(asked, "asked_blocks")
     # Probes of empty rings end here, before anything is packed.

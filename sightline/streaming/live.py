@@ -82,24 +82,21 @@ def ingest_signatures(incoming: DataFrame, index_path: str, checkpoint: str, lat
     """
     once = incoming.withWatermark("seen_at", lateness).dropDuplicatesWithinWatermark(["media_hash"])
 
+    def fresh(batch: DataFrame, known: DataFrame) -> DataFrame:
+        return new_signatures(batch.withColumn("pos", F.unix_micros("seen_at")), known, F.col("seen_at"))
+
     def write(batch: DataFrame, trigger_id: int) -> None:
-        spark = batch.sparkSession
-        schema = "media_hash string, trigger bigint"
-        index = spark.read.schema(schema).option("basePath", index_path).parquet(index_path) if _exists(spark, index_path) \
-            else spark.createDataFrame([], schema)
+        index = batch.sparkSession.read.schema("media_hash string, trigger bigint").option("basePath", index_path).parquet(index_path)
         known = index.filter(F.col("trigger") != trigger_id).select("media_hash")
-        fresh = new_signatures(batch.withColumn("pos", F.unix_micros("seen_at")), known, F.col("seen_at"))
-        fresh.write.mode("overwrite").parquet(f"{index_path}/trigger={trigger_id}")
+        fresh(batch, known).write.mode("overwrite").parquet(f"{index_path}/trigger={trigger_id}")
 
+    # The index is there, empty, before the first trigger reads it.
+    spark = incoming.sparkSession
+    empty = fresh(spark.createDataFrame([], incoming.schema), spark.createDataFrame([], "media_hash string"))
+    empty.write.mode("ignore").parquet(f"{index_path}/trigger=-1")
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
-def _exists(spark, path: str) -> bool:
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def answer_from_cache(requests: DataFrame, answers: DataFrame, keys=("search_type", "image_hash")) -> DataFrame:
     """Stream-static join: each incoming request with the newest stored answer that may serve it."""
     return serve(requests.join(newest_answers(answers, list(keys)), list(keys), "left"))

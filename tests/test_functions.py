@@ -140,6 +140,14 @@ def test_html_evidence(spark):
     assert rows[3][0] == [] and rows[3][1] == "fb"
 
 
+def test_structured_dates_are_found_at_any_depth(spark):
+    deep = lambda inner, n: inner if n == 0 else '{"@graph":[[%s]]}' % deep(inner, n - 1)
+    page = '<script type="application/ld+json">%s</script>'
+    docs = [(page % deep('{"datePublished":"2020-01-%02d"}' % (n + 1), n),) for n in (0, 5, 10, 25)]
+    got = values(spark, docs, "h string", F.transform(html.jsonld_date_evidence(F.col("h"), AS_OF), lambda e: F.date_format(e["date"], "yyyy-MM-dd")))
+    assert [r[0] for r in got] == [["2020-01-01"], ["2020-01-06"], ["2020-01-11"], ["2020-01-26"]]
+
+
 def test_fresh_dates_are_capped(spark):
     doc = '<meta property="article:published_time" content="2025-12-31T20:00:00Z">'
     (r,) = values(spark, [(doc,)], "h string", html.html_date_evidence(F.col("h"), AS_OF))

@@ -48,7 +48,7 @@ def brute(q, x, k, floor, exclude=False):
     return {i: v for i, v in out.items() if v}
 
 
-@pytest.mark.parametrize("floor", [0.9, 0.75, 0.3])
+@pytest.mark.parametrize("floor", [0.9, 0.75, 0.55])
 def test_nearest_equals_brute_force(spark, floor):
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(12, 16))
@@ -62,6 +62,12 @@ def test_nearest_equals_brute_force(spark, floor):
     assert got == brute(q, x, 5, floor)
 
 
+def test_nearest_refuses_a_floor_that_skips_nothing(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0])], "media_hash string, embedding array<float>")
+    with pytest.raises(ValueError):
+        similarity.nearest(rows.withColumnRenamed("media_hash", "query_id"), rows, 5, 0.5)
+
+
 def test_nearest_small_case_and_probes(spark):
     index = spark.createDataFrame([("a", [1.0, 0.0, 0.0]), ("b", [0.8, 0.6, 0.0]), ("c", [0.0, 1.0, 0.0])], "media_hash string, embedding array<float>")
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0])], "query_id string, embedding array<float>")
