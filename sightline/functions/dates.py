@@ -89,7 +89,7 @@ def _parse_text(text: Column) -> Column:
 
 def parse_date(value: Column, as_of: Column) -> Column:
     """Loose string to a plausible UTC timestamp, or null."""
-    text = F.substring(F.trim(value, F.lit(_SPACES)), 1, 80)
+    text = F.trim(value, F.lit(_SPACES))
     return keep_plausible(let(text, _parse_text), as_of)
 
 

@@ -17,7 +17,6 @@ UNKNOWN_LABEL = "لا يمكن تحديد مصدر الصورة"
 TEXT_AI_LABEL, TEXT_HUMAN_LABEL = "نص مُولّد بالذكاء الاصطناعي", "نص بشري (غير مُولّد بالذكاء الاصطناعي)"
 MIN_TEXT = 250
 FLAG_SCORE = 0.5
-PEOPLE_KEPT, QUERIES_KEPT = 5, 2
 IMAGE_EXTENSIONS = ("png", "jpg", "jpeg", "gif")
 AUDIO_EXTENSIONS = ("mp3", "wav", "ogg", "m4a", "flac", "aac", "wma")
 REPORT_MIMES = ("application/pdf", "application/json", "text/csv")
@@ -173,13 +172,18 @@ def needs_translation(text: Column) -> Column:
     )
 
 
-def tidy_identity(people: Column, queries_ar: Column, queries_en: Column) -> Column:
-    """Short lists of strings only: five people, two non-blank queries per language."""
+def tidy_identity(
+    people: Column, queries_ar: Column, queries_en: Column, people_kept: int | None = None, queries_kept: int | None = None,
+) -> Column:
+    """Lists of strings only: people, non-blank queries of each language; the first so many where a number is given."""
+    def first(a, limit):
+        return a if limit is None else F.slice(a, 1, limit)
+
     def kept(a):
-        return F.slice(F.filter(F.array_compact(a), lambda q: strip(q) != ""), 1, QUERIES_KEPT)
+        return first(F.filter(F.array_compact(a), lambda q: strip(q) != ""), queries_kept)
 
     return F.struct(
-        F.slice(F.array_compact(people), 1, PEOPLE_KEPT).alias("people"), kept(queries_ar).alias("queries_ar"),
+        first(F.array_compact(people), people_kept).alias("people"), kept(queries_ar).alias("queries_ar"),
         kept(queries_en).alias("queries_en"),
     )
 

@@ -563,15 +563,36 @@ def thin_answers(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT source, doc_id, trim(split_part(text, chr(10), 1)) AS line FROM documents),
-f AS (SELECT source, lower(line) AS k, arg_min(line, doc_id) AS line, min(doc_id) AS doc_id FROM t WHERE line <> '' GROUP BY ALL),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank FROM f)
-SELECT source, substr(line, 1, 120) AS title, rank FROM n WHERE rank <= 40""")
+WITH s AS (SELECT source, doc_id, string_split(text, chr(10)) AS lines FROM documents),
+t AS (SELECT source, doc_id * 1000000 + generate_subscripts(lines, 1) - 1 AS pos, trim(unnest(lines), chr(32) || chr(9) || chr(13) || chr(12) || chr(11) || chr(160)) AS line FROM s)
+SELECT source, arg_min(line, pos) AS title, min(pos) AS pos FROM t WHERE line <> '' GROUP BY source, lower(line)""")
 def title_pool(spark, sf):
-    d = table(spark, sf, "documents").select(
-        "source", F.col("doc_id").alias("pos"), F.substring_index("text", "\n", 1).alias("title"),
-        F.concat(F.lit("https://site.example/"), F.col("doc_id")).alias("url"))
-    return C.title_pool(d, "source").select("source", "title", "rank")
+    """Every line of every document is a title of its source."""
+    lines = table(spark, sf, "documents").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("n", "title"))
+    d = lines.select("source", (F.col("doc_id") * 1000000 + F.col("n")).alias("pos"), "title",
+                     F.concat(F.lit("https://site.example/"), F.col("doc_id")).alias("url"))
+    return C.title_pool(d, "source").select("source", "title", "pos")
+
+
+@query("""
+WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderpriority ELSE 'clerk ' || o_orderkey % 50 || ' at ' || o_orderstatus END AS caption,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'CLERK ' || o_orderkey % 50 ELSE o_orderpriority || ' ' || o_orderkey % 4 END AS title,
+  CASE o_orderkey % 4 WHEN 0 THEN 'page' WHEN 1 THEN 'platform' WHEN 2 THEN 'thumb' ELSE 'none' END AS level FROM orders),
+p AS (SELECT DISTINCT o_custkey, lower(title) AS key FROM s WHERE o_orderkey % 2 = 1),
+t AS (SELECT o_custkey, o_orderkey * 2 AS place, caption AS words FROM s WHERE level IN ('page', 'platform')
+  UNION ALL SELECT o_custkey, o_orderkey * 2 + 1, title FROM s WHERE level IN ('page', 'platform'))
+SELECT 'c' || o_custkey AS inv_id, arg_min(words, place) AS caption, min(place) AS place FROM t
+WHERE (o_custkey, lower(words)) NOT IN (SELECT o_custkey, key FROM p) GROUP BY o_custkey, lower(words)""")
+def caption_pool(spark, sf):
+    """Captions and titles of confirmed pages; every second page's title is in the title pool already."""
+    k = F.col("o_orderkey")
+    s = table(spark, sf, "orders").select(
+        F.concat(F.lit("c"), F.col("o_custkey")).alias("inv_id"), k.alias("pos"), F.concat(F.lit("https://site.example/"), k).alias("url"),
+        F.when(k % 5 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("clerk "), k % 50, F.lit(" at "), "o_orderstatus")).alias("caption"),
+        F.when(k % 3 == 0, F.concat(F.lit("CLERK "), k % 50)).otherwise(F.concat("o_orderpriority", F.lit(" "), k % 4)).alias("title"),
+        F.struct(F.when(k % 4 == 0, "page").when(k % 4 == 1, "platform").when(k % 4 == 2, "thumb").otherwise("none").alias("level")).alias("image"))
+    found = C.caption_pool(s, C.title_pool(s.filter(k % 2 == 1).drop("image")))
+    return found.select("inv_id", "caption", (F.col("at.pos") * 2 + F.col("at.slot")).alias("place"))
 
 
 @query("""
@@ -590,6 +611,62 @@ def text_queries(spark, sf):
         "c_custkey", "query", F.concat_ws("-", C.query_locale(F.col("query"))["hl"], C.query_locale(F.col("query"))["gl"]).alias("locale"), "slot")
 
 
+@query("""
+WITH u AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'http://a.example/' || o_orderkey END AS own,
+  'http://b.example/' || o_orderkey % 7 AS first, 'https://c.example/' || o_orderkey AS second FROM orders)
+SELECT o_orderkey, coalesce(own, first) AS main, CASE WHEN own IS NULL THEN second ELSE first || ' ' || second END AS extra FROM u""")
+def frame_links(spark, sf):
+    """Frame lists with strings that are no links and repeats of the main one."""
+    k = F.col("o_orderkey")
+    listed = F.array(F.lit("frame"), F.concat(F.lit("http://b.example/"), k % 7), F.lit(None).cast("string"), F.concat(F.lit("https://c.example/"), k))
+    f = C.frame_urls(F.when(k % 3 == 0, F.concat(F.lit("http://a.example/"), k)), listed)
+    return table(spark, sf, "orders").select("o_orderkey", f.alias("f")).select(
+        "o_orderkey", F.col("f.primary").alias("main"), F.array_join("f.extra", " ").alias("extra"))
+
+
+# ------------------------------------------------------------------------- dates in codes and fresh dates
+
+@query(f"""
+WITH c AS (SELECT o_orderkey, 'C' || substr(md5(o_orderkey::VARCHAR), 1, 10) AS code FROM orders),
+n AS (SELECT o_orderkey, list_sum(list_transform(range(1, 9), lambda i:
+  (strpos('{dates.SHORTCODE_ALPHABET}', code[i]) - 1)::BIGINT * (1::BIGINT << CAST(6 * (8 - i) AS INTEGER))))::BIGINT AS top FROM c),
+d AS (SELECT o_orderkey, date_trunc('second', make_timestamp(((top >> 5) + {dates.INSTAGRAM_EPOCH_MS}) * 1000)) AS moment,
+  make_timestamp(((top >> 5) + {dates.INSTAGRAM_EPOCH_MS}) * 1000) <= TIMESTAMP '{AS_OF}' + INTERVAL 1 DAY AS ok FROM n)
+SELECT o_orderkey, CASE WHEN ok THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS date, CASE WHEN ok THEN 0.95 END AS confidence FROM d""")
+def shortcode_date(spark, sf):
+    """Codes made from order keys; some of them lie after the day of reading and have no date."""
+    code = F.concat(F.lit("C"), F.substring(F.md5(F.col("o_orderkey").cast("string")), 1, 10))
+    e = dates.platform_date(F.concat(F.lit("https://www.instagram.com/p/"), code, F.lit("/")), as_of())
+    return table(spark, sf, "orders").select("o_orderkey", e.alias("e")).select("o_orderkey", iso(F.col("e.date")).alias("date"), "e.confidence")
+
+
+@query(f"""
+WITH d AS (SELECT o_orderkey, TIMESTAMP '{AS_OF}' - to_seconds((o_orderkey % 72) * 3600) AS moment, o_orderkey % 72 <= 36 AS fresh,
+  CASE WHEN o_orderkey % 2 = 0 THEN 0.9 ELSE 0.2 END AS conf FROM orders)
+SELECT o_orderkey, strftime(moment, '%Y-%m-%d %H:%M:%S') AS date, CASE WHEN fresh THEN least(conf, 0.3) ELSE conf END AS confidence,
+  CASE WHEN fresh THEN 'meta:date?fresh' ELSE 'meta:date' END AS source FROM d""")
+def fresh_date(spark, sf):
+    k = F.col("o_orderkey")
+    at = as_of() - F.make_interval(hours=k.cast("int") % 72)
+    e = dates.cap_fresh(dates.evidence(at, F.when(k % 2 == 0, 0.9).otherwise(0.2), "meta:date"), as_of())
+    return table(spark, sf, "orders").select("o_orderkey", e.alias("e")).select(
+        "o_orderkey", iso(F.col("e.date")).alias("date"), "e.confidence", "e.source")
+
+
+@query(f"""
+WITH d AS (SELECT o_orderkey, o_orderkey % 3 AS k, {WHEN_SQL} AS moment FROM orders)
+SELECT o_orderkey, CASE WHEN k < 2 THEN strftime(moment, '%Y-%m-%d %H:%M:%S') END AS date, CASE k WHEN 0 THEN 0.95 WHEN 1 THEN 0.92 END AS confidence,
+  CASE k WHEN 0 THEN 'platform:telegram_time' WHEN 1 THEN 'platform:facebook_creation_time' END AS source FROM d""")
+def platform_page_date(spark, sf):
+    """A message's time tag, a post's creation second, and a site that is neither."""
+    o = _orders_when(spark, sf)
+    k, sec = F.col("o_orderkey") % 3, F.unix_seconds("at").cast("string")
+    url = F.when(k == 0, F.concat(F.lit("https://t.me/channel/"), "o_orderkey")).when(k == 1, F.lit("https://www.facebook.com/x")).otherwise(F.lit("https://s.example/a"))
+    body = F.concat(F.lit('<html><time class="t" datetime="'), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('+00:00">x</time><script>{"creation_time":'), sec, F.lit("}</script></html>"))
+    e = dates.platform_page_date(url, body, as_of())
+    return o.select("o_orderkey", e.alias("e")).select("o_orderkey", iso(F.col("e.date")).alias("date"), "e.confidence", "e.source")
+
+
 # -------------------------------------------------------------------------------------------- report
 
 @query(f"""

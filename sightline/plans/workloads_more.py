@@ -567,6 +567,27 @@ def catalog_join(spark, sf):
     return l.select(F.col("id").alias("n_nationkey"), F.col("name").alias("n_name"), F.col("country.name_en").alias("r_name"))
 
 
+@query("""
+SELECT o_orderkey, o_custkey, o_orderkey % 4 = 0 OR o_custkey % 10 = 7 AS readable FROM orders""")
+def owner_rights(spark, sf):
+    """Every fourth row has no owner; the reader owns those of customers whose number ends in 7."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    owner = F.when(F.col("o_orderkey") % 4 != 0, (F.col("o_custkey") % 10).cast("string"))
+    return o.withColumn("readable", catalog.may_read(owner, "7"))
+
+
+@query("""
+SELECT o_orderkey, 'A ' || o_custkey || ', B, C' AS people, 'q' || o_orderkey AS ar, 'one, two' AS en FROM orders""")
+def identity_lists(spark, sf):
+    """Lists with nulls and blanks among their entries."""
+    none = F.lit(None).cast("string")
+    t = detection.tidy_identity(
+        F.array(F.concat(F.lit("A "), "o_custkey"), none, F.lit("B"), F.lit("C")), F.array(F.lit("  "), F.concat(F.lit("q"), "o_orderkey")),
+        F.array(none, F.lit("one"), F.lit(""), F.lit("two")))
+    return table(spark, sf, "orders").select("o_orderkey", t.alias("t")).select(
+        "o_orderkey", F.array_join("t.people", ", ").alias("people"), F.array_join("t.queries_ar", ", ").alias("ar"), F.array_join("t.queries_en", ", ").alias("en"))
+
+
 @query("""
 WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS place,
   count(*) OVER (PARTITION BY o_custkey) AS total FROM orders)

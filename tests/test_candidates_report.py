@@ -73,19 +73,23 @@ def test_prescreen(spark):
 
 
 def test_text_queries_and_pools(spark):
-    q = C.text_queries(F.array(F.lit("ن١"), F.lit("ن٢")), F.array(F.lit("e1")), F.array(F.lit("A"), F.lit("B")), F.lit("ev"), F.lit("b detail"))
+    q = C.text_queries(F.array(F.lit("ن١"), F.lit("ن٢")), F.array(F.lit("e1")), F.array(F.lit("A"), F.lit("B")), F.lit("ev"), F.lit("b detail"), limit=3)
+    whole = C.text_queries(F.array(F.lit("ن١"), F.lit("ن٢")), F.array().cast("array<string>"), F.array(*map(F.lit, "ABCD")), F.lit("ev"), F.lit(None).cast("string"))
     none = F.array().cast("array<string>")
     e = C.text_queries(none, none, none, F.lit("Fire"), F.lit("fire"))
-    (r,) = spark.range(1).select(q.alias("q"), e.alias("e"), C.query_locale(F.lit("ن"))["hl"].alias("hl"),
+    (r,) = spark.range(1).select(q.alias("q"), e.alias("e"), whole.alias("w"), C.query_locale(F.lit("ن"))["hl"].alias("hl"),
                                  C.frame_urls(F.lit(None).cast("string"), F.array(F.lit("x"), F.lit("http://a"), F.lit("http://b"))).alias("f")).collect()
     assert r.q == ["ن١", "e1", "A B b detail site:x.com"] and r.e == ["Fire site:x.com"] and r.hl == "ar"
+    assert r.w == ["ن١", "A B C D site:x.com", "ن٢"]
     assert r.f.primary == "http://a" and r.f.extra == ["http://b"]
     cands = spark.createDataFrame([("i", n, f"https://s.example/{n}", t) for n, t in enumerate(["One", "one ", "", "Two"])], "inv_id string, pos int, url string, title string")
     titles = C.title_pool(cands)
-    assert [r.title for r in titles.orderBy("rank").collect()] == ["One", "Two"]
+    assert [r.title for r in titles.orderBy("pos").collect()] == ["One", "Two"]
+    assert [(r.title, r.rank) for r in C.title_pool(cands, limit=1).collect()] == [("One", 1)]
     s = spark.createDataFrame([("i", n, f"cap {n}", "TWO" if n == 0 else f"t{n}", ("page",)) for n in range(20)], "inv_id string, pos int, caption string, title string, image struct<level:string>")
-    caps = [r.caption for r in C.caption_pool(s, titles).orderBy("rank").collect()]
+    caps = [r.caption for r in C.caption_pool(s, titles, 12).orderBy("rank").collect()]
     assert caps[:3] == ["cap 0", "cap 1", "t1"] and len(caps) == 13 and caps[-1] == "t6"
+    assert C.caption_pool(s, titles).count() == 39
 
 
 SIGHT = ("inv_id string, pos int, url string, canonical string, title string, caption string, image struct<level:string,kind:string,matched_url:string,phash:int,note:string,frame:int>, "
