@@ -44,7 +44,7 @@ def metered(calls: DataFrame) -> DataFrame:
         F.substring(F.coalesce("url", F.lit("")), 1, 500).alias("url"), "method", "status_code",
         F.coalesce((F.col("status_code") != 0) & (F.col("status_code") < 400), F.lit(False)).alias("ok"),
         F.round(F.col("latency_s") * 1000, 2).alias("latency_ms"),
-        F.when(F.col("error") != "", F.substring("error", 1, 300)).alias("error"), "created_at",
+        F.when(F.col("error") != "", F.col("error")).alias("error"), "created_at",
     )
 
 
