@@ -512,13 +512,14 @@ FROM merged m LEFT JOIN v USING (inv_id, canonical) GROUP BY ALL""")
 def prescreen_verdicts(spark, sf):
     """Thumbnail comparisons derived from the thumbnail links; every fifth page's thumbnail is unreadable."""
     merged = C.merge_candidates(page_rows(spark, sf))
-    t = C.candidate_thumbs(C.with_canonical(page_rows(spark, sf))).select("inv_id", "thumb").distinct()
+    thumbs = C.candidate_thumbs(C.with_canonical(page_rows(spark, sf)))
+    t = thumbs.select("inv_id", "thumb").distinct()
     no = F.regexp_extract("thumb", "/([0-9]+)", 1).cast("bigint")
     h = F.length("thumb") + no % 37
     comparisons = t.filter(no % 5 != 0).select(
         "inv_id", "thumb", (h % 30).cast("int").alias("distance"),
         F.when(h % 3 == 0, True).when(h % 3 == 1, False).alias("same_scene"), F.lit(40).alias("inliers"))
-    return C.prescreen_counts(C.prescreen(merged, comparisons))
+    return C.prescreen_counts(C.prescreen(merged, comparisons, thumbs=thumbs))
 
 
 @query("""

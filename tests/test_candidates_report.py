@@ -72,6 +72,19 @@ def test_prescreen(spark):
     assert (c.match, c.differs, c.unknown) == (2, 1, 2)
 
 
+def test_prescreen_reads_every_thumbnail(spark):
+    rows = [("i", n, "https://s.example/a", "", f"http://t/{n}", None, "lens", 1, "exact", None, None, None) for n in range(7)]
+    rows += [("i", 9, "https://z.example/a", "", "http://t/9", None, "lens", 1, "exact", None, None, None)]
+    df = spark.createDataFrame(rows, ROW)
+    m, thumbs = C.merge_candidates(df), C.candidate_thumbs(C.with_canonical(df))
+    cmp = spark.createDataFrame([("i", "http://t/6", 3, None, 0)], "inv_id string, thumb string, distance int, same_scene boolean, inliers int")
+    for limit in (None, 1):
+        s = C.prescreen(m, cmp, rows=limit, thumbs=thumbs)
+        assert {r.pos: (r.thumb_verdict, r.thumb_distance) for r in s.collect()} == {0: ("match", 3), 9: ("unknown", None)}
+    assert [r.pos for r in C.rank_candidates(s, AS_OF).orderBy("rank").collect()] == [0, 9]
+    assert [len(r.thumbs) for r in C.merge_candidates(df, thumbs_kept=None).orderBy("pos").collect()] == [7, 1]
+
+
 def test_text_queries_and_pools(spark):
     q = C.text_queries(F.array(F.lit("ن١"), F.lit("ن٢")), F.array(F.lit("e1")), F.array(F.lit("A"), F.lit("B")), F.lit("ev"), F.lit("b detail"), limit=3)
     whole = C.text_queries(F.array(F.lit("ن١"), F.lit("ن٢")), F.array().cast("array<string>"), F.array(*map(F.lit, "ABCD")), F.lit("ev"), F.lit(None).cast("string"))
