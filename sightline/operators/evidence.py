@@ -239,7 +239,7 @@ def parse_date_v1(value: Column) -> Column:
         inside = F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1).try_cast("timestamp")
         return F.coalesce(whole, tries, inside)
 
-    return let(F.substring(F.trim(value), 1, 50), read)
+    return let(F.trim(value), read)
 
 
 def first_hit_date(url: Column, html: Column) -> Column:

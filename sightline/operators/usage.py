@@ -41,7 +41,7 @@ def metered(calls: DataFrame) -> DataFrame:
     """Raw call outcomes as metering rows: ``provider, method, url, status_code, latency_s, error, created_at``."""
     return calls.select(
         F.expr("uuid()").alias("id") if "id" not in calls.columns else F.col("id"), "provider",
-        F.substring(F.coalesce("url", F.lit("")), 1, 500).alias("url"), "method", "status_code",
+        F.coalesce("url", F.lit("")).alias("url"), "method", "status_code",
         F.coalesce((F.col("status_code") != 0) & (F.col("status_code") < 400), F.lit(False)).alias("ok"),
         F.round(F.col("latency_s") * 1000, 2).alias("latency_ms"),
         F.when(F.col("error") != "", F.col("error")).alias("error"), "created_at",

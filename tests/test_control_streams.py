@@ -52,6 +52,13 @@ def test_budget_cases(spark):
     assert {(r["mode"], r.kind): (r.seconds, r.credits, r.pages) for r in usage.budget_table(spark).collect()}[("deep", "video")] == (200.0, 22, 120)
 
 
+def test_metered_urls_are_whole(spark):
+    long = ["https://api.example/" + "x" * 600 + end for end in "ab"]
+    raw = spark.createDataFrame([(str(n), "p", u, "GET", 200, 1.0, None, T0) for n, u in enumerate([*long, None])],
+                                "id string, provider string, url string, method string, status_code int, latency_s double, error string, created_at timestamp")
+    assert [r.url for r in usage.metered(raw).orderBy("id").collect()] == [*long, ""]
+
+
 def attempts(seed, n, p_fail, gap):
     rng = np.random.default_rng(seed)
     at, state, out = T0, False, []

@@ -148,6 +148,16 @@ def test_structured_dates_are_found_at_any_depth(spark):
     assert [r[0] for r in got] == [["2020-01-01"], ["2020-01-06"], ["2020-01-11"], ["2020-01-26"]]
 
 
+def test_first_hit_dates_are_read_from_whole_values(spark):
+    said = "Posted by the newsroom of the Example Daily on the day of 2021-03-04"
+    docs = [("time", f"<time datetime='{said}'>x</time><span itemprop=datePublished>2011-01-01</span>"), ("text", f"<time datetime>{said}</time>"),
+            ("item", f"<span itemprop='datePublished'>{said}</span>"), ("json", '<script type="application/ld+json">{"datePublished":"%s"}</script>' % said)]
+    hit = E.first_hit_date(F.lit("https://n.example/x"), F.col("h"))
+    got = values(spark, docs, "k string, h string", "k", F.date_format(hit["published_at"], "yyyy-MM-dd"), hit["evidence"])
+    assert {tuple(r) for r in got} == {("time", "2021-03-04", "time:datetime"), ("text", "2021-03-04", "time:datetime"),
+                                       ("item", "2021-03-04", "itemprop:datePublished"), ("json", "2021-03-04", "jsonld:datePublished")}
+
+
 def test_fresh_dates_are_capped(spark):
     doc = '<meta property="article:published_time" content="2025-12-31T20:00:00Z">'
     (r,) = values(spark, [(doc,)], "h string", html.html_date_evidence(F.col("h"), AS_OF))
