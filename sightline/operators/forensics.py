@@ -32,9 +32,9 @@ MAGIC = (
 
 
 def _clean(text: Column) -> Column:
-    """One captured byte run as text: re-read as UTF-8, stripped, 200 characters."""
+    """One captured byte run as text: re-read as UTF-8, stripped, whole."""
     utf8 = F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")
-    return blank_to_null(F.substring(strip(F.trim(strip(utf8), F.lit("\u0000"))), 1, 200))
+    return blank_to_null(strip(F.trim(strip(utf8), F.lit("\u0000"))))
 
 
 def xmp_summary(content: Column) -> Column:
@@ -54,12 +54,17 @@ def xmp_summary(content: Column) -> Column:
 
 
 def credentials_summary(content: Column) -> Column:
-    """``struct<present, claim_generator, digital_source_type>`` of signed content credentials."""
+    """``struct<present, claim_generator, digital_source_type>`` of signed content credentials.
+
+    The source type counts wherever it stands from the first mention of the actions to the end of the file: the
+    claim's reference to the actions may come before their block, and a block has any length.
+    """
     def read(raw):
         labelled = F.contains(raw, F.lit("c2pa"))
         mentioned = labelled | F.contains(raw, F.lit("contentauth"))
-        generator = F.regexp_extract(raw, r"claim_generator[^A-Za-z0-9]{1,8}([A-Za-z0-9 ._/()-]{3,80})", 1)
-        actions = F.regexp_extract(raw, r"(c2pa\.actions[^\x00]{0,400})", 1)
+        generator = F.regexp_extract(raw, r"claim_generator[^A-Za-z0-9]{1,8}([A-Za-z0-9 ._/()-]{3,})", 1)
+        at = F.instr(raw, "c2pa.actions")
+        actions = F.when(at > 0, F.substring(raw, at, F.length(raw)))
         return F.struct(
             (mentioned & (labelled | F.contains(raw, F.lit("jumb")))).alias("present"),
             F.when(mentioned, _clean(generator)).alias("claim_generator"),

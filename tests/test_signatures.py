@@ -242,3 +242,21 @@ def test_file_report(spark):
     assert got[2].c2pa.present and got[2].c2pa.claim_generator.startswith("Adobe Firefly") and got[2].c2pa.digital_source_type
     assert "AI-generated per detector (93%), generator guess dalle" in got[2].hints
     assert got[3].hints == [] and not got[3].likely_ai and not got[3].c2pa.present
+
+
+def test_file_report_reads_whole_blocks(spark):
+    kind = b"trainedAlgorithmicMedia"
+    contents = {
+        "long": b"jumb c2pa claim_generator\x00\x10" + b"Studio " * 20 + b"9.1\x00c2pa.actions" + b"edited " * 200 + kind,
+        "nul": b"jumb c2pa c2pa.actions\x00\x01\x02" + kind,
+        "reference": b"jumb c2pa claim self#jumbf=c2pa.assertions/c2pa.actions\x00" + b"\x01" * 900 + b"c2pa.actions\x00" + b"y" * 900 + kind,
+        "before": b"jumb c2pa " + kind + b" c2pa.actions c2pa.opened",
+        "none": b"jumb c2pa " + kind,
+        "late name": b'<x:xmpmeta><rdf:Description xmp:CreatorTool="' + b"Plug-in, " * 40 + b'Midjourney"/></x:xmpmeta>',
+    }
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in contents.items()], "id string, content binary").select("*", *[none.alias(c) for c in (
+        "exif_software", "exif_artist", "exif_make", "exif_model", "iptc_credit", "iptc_creator", "ai_verdict", "ai_generator")], F.lit(None).cast("double").alias("ai_confidence"))
+    got = {r.id: r for r in forensics.file_report(df).collect()}
+    assert {k: r.likely_ai for k, r in got.items()} == {"long": True, "nul": True, "reference": True, "before": False, "none": False, "late name": True}
+    assert got["long"].c2pa.claim_generator == "Studio " * 20 + "9.1" and got["late name"].xmp.creator_tool.endswith("Midjourney")
