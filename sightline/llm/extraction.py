@@ -37,6 +37,13 @@ notice notices alert popup modal overlay newsletter subscribe subscription signu
 navigation breadcrumb breadcrumbs footer masthead toolbar share sharing social related recommended widget comment
 comments commentlist reply replies respond disqus complementary contentinfo search pagination pager
 """.split())
+#: Of these, words (and tags) of what is beside the article even if it holds articles of its own.
+APART = frozenset("""
+comment comments commentlist reply replies respond disqus aside sidebar complementary related recommended nav navbar
+navigation menu
+""".split())
+#: Words for a box, which may stand beside a mark within one class: comment-list, cookie-bar.
+BOXES = frozenset("area bar block body box container group inner item items list outer section wrap wrapper".split())
 # ---------------------------------------------------------------------------------------------------
 
 _TOKEN = re.compile(
@@ -47,7 +54,7 @@ _TOKEN = re.compile(
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
-_PARTS = re.compile(r"[^a-zA-Z]+")
+_PARTS = re.compile(r"[^a-zA-Z0-9]+")
 _WORDS = re.compile(r"\w+")
 
 
@@ -63,10 +70,12 @@ class Block:
 
     def first(self) -> str:
         """First pass: good, bad, near (probably good) or short (not to be told alone)."""
-        if self.marked or self.linked > LINKED:
+        if self.marked:
             return "bad"
         if self.main:  # the page itself says that this is the article
             return "good"
+        if self.linked > LINKED:
+            return "bad"
         if "\xa9" in self.text and len(self.text) < LONG:
             return "bad"
         if len(self.text) < SHORT:
@@ -76,16 +85,25 @@ class Block:
         return "near" if self.stops >= LOW_STOPS else "bad"
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> tuple[bool, bool]:
+    """Whether class, id, role or style mark a holder, and whether what they name is apart from the article or unseen.
+    A class counts as a whole: ``cookie-notice`` and ``ad-300x250`` are marks, ``has-sidebar`` is not."""
     if not attributes:
-        return False
-    return _HIDDEN.search(attributes) is not None or any(p.lower() in MARKS for m in _NAMES.findall(attributes) for p in _PARTS.split("".join(m)))
+        return False, False
+    if _HIDDEN.search(attributes) is not None:
+        return True, True
+    marked = apart = False
+    for token in " ".join("".join(m) for m in _NAMES.findall(attributes)).lower().split():
+        words = {p.rstrip("0123456789") for p in _PARTS.split(token) if p and not p[0].isdigit()}
+        if words & MARKS and words <= MARKS | BOXES:
+            marked, apart = True, apart or not words.isdisjoint(APART)
+    return marked, apart
 
 
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order. Holders that are never closed end with the holder around them."""
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # holder, within the article, within what is marked
+    stack: list[tuple[str, bool, bool, bool]] = []  # holder, within the article, what is marked, what is apart
     text: list[str] = []
     linked, in_link, lines = 0, False, 0
 
@@ -93,7 +111,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, lines
         joined = " ".join("".join(text).split())
         if joined:
-            found.append(Block(joined, linked, *(stack[-1][1:] if stack else (False, False))))
+            found.append(Block(joined, linked, *(stack[-1][1:3] if stack else (False, False))))
         text.clear()
         linked = lines = 0
 
@@ -121,21 +139,24 @@ def blocks_of(page: str) -> list[Block]:
             in_link = False
             while stack and not stack[-1][0]:  # a marked paragraph ends with the next block tag
                 stack.pop()
-            _, main, marked = stack[-1] if stack else ("", False, False)
+            _, main, marked, apart = stack[-1] if stack else ("", False, False, False)
             if m["close"]:
                 if any(s[0] == tag for s in stack):
                     while stack.pop()[0] != tag:
                         pass
             elif tag == "body":
-                stack[:] = [("body", False, False)]
+                stack[:] = [("body", False, False, False)]
             elif tag in MAIN_TAGS:
-                stack.append((tag, True, marked))
-            elif tag in HOLDERS:
-                # A page's own header is not its article; a header inside the article holds its title.
-                bad = tag in BOILERPLATE_TAGS or (tag == "header" and not main) or _marked(m["attributes"])
-                stack.append((tag, main, marked or bad))
-            elif _marked(m["attributes"]):
-                stack.append(("", main, True))
+                # Whatever the holders around it are called, unless it is a comment or stands beside the article.
+                stack.append((tag, True, apart, apart))
+            else:
+                named, beside = _marked(m["attributes"])
+                if tag in HOLDERS:
+                    # A page's own header is not its article; a header inside the article holds its title.
+                    bad = tag in BOILERPLATE_TAGS or (tag == "header" and not main) or named
+                    stack.append((tag, main, marked or bad, apart or beside or tag in APART))
+                elif named:
+                    stack.append(("", main, True, apart or beside))
     end()
     return found
 
@@ -175,7 +196,9 @@ def extract_pages(pages: DataFrame, id: str = "page_id", html: str = "html") ->
     n_blocks``. Blocks are joined in page order by a line end; white space within a block is one space; character
     references are decoded.
 
-    Blocks inside an ``article`` or ``main`` are good and blocks inside holders marked as boilerplate bad; elsewhere
+    Blocks inside an ``article`` or ``main`` are good, links or not, and blocks inside holders marked as boilerplate
+    bad. An article in a marked holder is still the article, unless that holder is hidden, a comment, an aside or a
+    menu. A class marks its holder only as a whole, not by a part of its name (``has-sidebar``). Elsewhere
     stop-word density, length and link density decide, and short blocks inherit from their nearest decided
     neighbours. A null or empty page, or one without a good block, has an empty text. Unclosed and cut-off markup ends
     with what holds it, or with the page. Pages are read whole; rows that repeat are read each. No shuffle."""

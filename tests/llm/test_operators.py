@@ -282,6 +282,19 @@ def test_main_text():
     assert extraction.main_text("<article>1 < 2 &lt; 3</article>") == "1 < 2 < 3"
 
 
+def test_articles_in_wrappers_are_kept():
+    story = '<article><h1><a href="/p">A linked title</a></h1><p>Body of it.</p><p><a href="/q">All of this is a link.</a></p><div class="social-share">Tweet</div></article>'
+    want = "A linked title\nBody of it.\nAll of this is a link."
+    for wrapper in ('<div class="layout has-sidebar">', '<div id="page" class="social-share-on">', '<form id="aspnet">', '<div class="banner">', "<section class='no-ads'><div>"):
+        assert extraction.main_text(f"<body class=has-sidebar>{wrapper}{story}") == want, wrapper
+    for beside in ("<aside>", "<nav>", '<div id="comments">', '<ol class="comment-list"><li>', '<div role="complementary">', "<div hidden>", '<div class="related">'):
+        assert extraction.main_text(f"{story}{beside}<article><p>Not of it.</p></article>") == want, beside
+        assert extraction.main_text(story.replace("</article>", f"{beside}<article><p>Not of it.</p></article></div>")) == want, beside
+    for name in ("ad", "ad-300x250", "cookie-notice", "sidebar", "ads1", "nav-bar"):
+        assert extraction.main_text(f'<article>Text.<div class="x {name}">Not of it.</div></article>') == "Text.", name
+    assert extraction.main_text('<article>Text.<div class="has-sidebar">And of it.</div></article>') == "Text.\nAnd of it."
+
+
 def test_pages_on_awkward_rows(spark):
     rows = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (3, PAGE, "t"), (3, PAGE, "t"), (None, "<main>x</main>", "t")], "page_id int, html string, text string")
     out = extraction.extract_pages(rows).collect()
