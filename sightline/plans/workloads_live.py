@@ -65,7 +65,7 @@ def live_rate_limit(spark, sf):
 
 def live_cooldown(spark, sf):
     s = _event_stream(spark, sf).select("provider", "id", F.col("created_at").alias("at"), "status_code")
-    return _run(live.live_cooldown(s)).select("id", "suppressed")
+    return live.cooldown_state(_run(live.live_cooldown(s))).select("id", "suppressed")
 
 
 @query(f"""

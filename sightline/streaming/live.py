@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightline.operators.detection import newest_answers, serve
 from sightline.operators.usage import (
@@ -47,28 +43,30 @@ def live_paid_limits(requests: DataFrame, lateness: str = LATENESS) -> tuple[Dat
 
 # ------------------------------------------------------------------------------------------ cooldown
 
-def _cooldown(seconds: int) -> Callable:
-    def run(key, batches: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (until,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(batches)).sort_values(["at", "id"])
-        out = []
-        for at, status in zip(rows["at"], rows["status_code"]):
-            out.append(bool(until is not None and at < until))
-            if status in COOLDOWN_STATUSES:
-                later = at + pd.Timedelta(seconds=seconds)
-                until = later if until is None else max(until, later)
-        state.update((until,))
-        rows["suppressed"] = out
-        yield rows[["provider", "id", "at", "status_code", "suppressed"]]
-
-    return run
-
-
-def live_cooldown(lookups: DataFrame, seconds: int = COOLDOWN_SECONDS) -> DataFrame:
-    """Lookups made while a refusal's cooldown was still running. ``lookups``: ``provider, id, at, status_code``."""
-    return lookups.select("provider", "id", "at", "status_code").groupBy("provider").applyInPandasWithState(
-        _cooldown(seconds), "provider string, id bigint, at timestamp, status_code int, suppressed boolean",
-        "until timestamp", "append", GroupStateTimeout.NoTimeout)
+def live_cooldown(lookups: DataFrame, seconds: int = COOLDOWN_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    """Lookups made while a refusal's cooldown was still running. ``lookups``: ``provider, id, at, status_code``.
+
+    Every lookup is reported at once as not suppressed, and once more as suppressed as soon as a refusal less than
+    ``seconds`` before it is known, whichever of the two arrives first: the last row of a lookup holds (see
+    :func:`cooldown_state`). A stream-stream join within an interval; time is cut into buckets of the cooldown length
+    and a refusal goes to its own and the next bucket, so that a busy provider is spread over its buckets. Lookups and
+    refusals that are later than ``lateness`` no longer change a report.
+    """
+    asked = lookups.select("provider", "id", "at", "status_code")
+    bucket = F.floor(F.unix_micros("at") / (seconds * 1_000_000)).cast("bigint")
+    timed = asked.withWatermark("at", lateness)
+    refused = timed.filter(F.col("status_code").isin(*COOLDOWN_STATUSES)).select(
+        F.col("provider").alias("_provider"), F.col("at").alias("_at"), F.explode(F.array(bucket, bucket + 1)).alias("_bucket"))
+    near = (F.col("_provider") == F.col("provider")) & (F.col("_bucket") == F.col("bucket")) & (
+        F.col("_at") < F.col("at")) & (F.col("at") < F.col("_at") + F.make_dt_interval(secs=F.lit(seconds)))
+    hit = timed.withColumn("bucket", bucket).join(refused, near).select("provider", "id", "at", "status_code")
+    once = hit.dropDuplicatesWithinWatermark(["provider", "id"])
+    return asked.withColumn("suppressed", F.lit(False)).unionByName(once.withColumn("suppressed", F.lit(True)))
+
+
+def cooldown_state(reports: DataFrame) -> DataFrame:
+    """One row per lookup of what :func:`live_cooldown` has reported so far."""
+    return reports.groupBy("provider", "id", "at", "status_code").agg(F.bool_or("suppressed").alias("suppressed"))
 
 
 # -------------------------------------------------------------------------------------- ingest, cache

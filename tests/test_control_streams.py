@@ -126,6 +126,19 @@ def test_live_cooldown_equals_batch(spark, tmp_path):
     assert got == batch and any(got.values()) and not all(got.values())
 
 
+def test_live_cooldown_with_late_rows(spark, tmp_path):
+    """Refusals that arrive triggers after the lookups they suppress, and lookups that arrive after later refusals."""
+    rng = np.random.default_rng(4)
+    schema = "provider string, id long, at timestamp, status_code int"
+    rows = [(f"p{n % 2}", n, T0 + dt.timedelta(seconds=11 * n), int(rng.choice([200, 200, 200, 200, 200, 429, 503]))) for n in range(120)]
+    late = [rows[i] for i in np.argsort(np.arange(120) + rng.integers(0, 30, 120))]  # up to 330 seconds
+    drain(live.live_cooldown(stream(spark, late, schema, tmp_path / "in", 6)), "late_out")
+    out = live.cooldown_state(spark.table("late_out")).collect()
+    batch = {r.id: r.suppressed for r in streaks.cooldown_audit(spark.createDataFrame(rows, schema)).collect()}
+    assert len(out) == 120 and {r.id: r.suppressed for r in out} == batch and any(batch.values()) and not all(batch.values())
+    assert spark.table("late_out").filter("suppressed").count() == sum(batch.values())
+
+
 def test_signature_ingest_keeps_first_occurrence(spark, tmp_path):
     schema = "media_hash string, phash long, dhash long, embedding array<double>, source string, ref_url string, seen_at timestamp"
     rows = [(f"h{n % 7}", n, n, [float(n)], "query", None, T0 + dt.timedelta(minutes=20 * n)) for n in range(42)]
