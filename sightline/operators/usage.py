@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ PER_MINUTE, PAID_PER_MINUTE, PAID_PER_DAY = 200, 10, 200
 FAILURES_TO_OPEN, OPEN_SECONDS = 5, 60
 COOLDOWN_SECONDS, COOLDOWN_STATUSES = 90, (429, 503)
 # ---------------------------------------------------------------------------------------------------
-CHUNK = 512
+CHUNK, FAN = 512, 64
 
 
 def _since(days: int, as_of: Column) -> Column:
@@ -63,60 +65,77 @@ def admit_unit_costs(charges: DataFrame, cap: Column) -> DataFrame:
     ).drop("_ok")
 
 
-def admit(charges: DataFrame, cap: int, chunk: int = CHUNK) -> DataFrame:
-    """Spend in order while the sum fits: a charge that does not fit costs nothing and later, smaller ones
-    may still fit; a negative charge is a refund that stops at zero. Adds ``accepted`` and ``spent``.
+def _chunk_starts(tables: DataFrame, cap: int, last: int, fan: int) -> DataFrame:
+    """``inv_id, _chunk, start``: the state in which each chunk begins. ``fan`` neighbouring state tables are composed
+    into one, as often as it takes to have one left, and the known start is handed down the same way."""
+    if last == 0:
+        return tables.select("inv_id", "_chunk", F.lit(0).alias("start"))
+    packs = tables.groupBy("inv_id", F.floor(F.col("_chunk") / fan).alias("_pack")).agg(
+        F.array_sort(F.collect_list(F.struct("_chunk", "table"))).alias("t"))
+
+    def through(start):
+        return F.aggregate("t", start, lambda s, c: F.get(c["table"], s))
+
+    composed = packs.select("inv_id", F.col("_pack").alias("_chunk"), F.when(
+        F.col("_pack") == 0, F.array(through(F.lit(0)))
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap)), through)).alias("table"))
+    above = _chunk_starts(composed, cap, last // fan, fan).withColumnRenamed("_chunk", "_pack")
+    begin = F.struct(F.col("start").alias("s"), F.array().cast("array<struct<_chunk:bigint,start:int>>").alias("seen"))
+    return packs.join(above, ["inv_id", "_pack"]).select("inv_id", F.inline(F.aggregate("t", begin, lambda acc, c: F.struct(
+        F.get(c["table"], acc["s"]).alias("s"),
+        F.concat(acc["seen"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["s"].alias("start")))).alias("seen"),
+    ))["seen"]))
+
 
-    ``charges``: ``inv_id, pos`` (dense from 0 or nearly so)``, credits``. The walk is sequential, but its
-    state is one number in 0..cap, so an investigation is cut into chunks by position: each chunk is
-    reduced to its state table (end state for every start state), tables are chained in order, and each
-    chunk is replayed from its known start. No group is larger than a chunk or the list of chunk tables.
+def _walk(rows: DataFrame, cap: int, after: Callable[[Column, Column], Column], chunk: int, fan: int) -> DataFrame:
+    """Adds ``before`` and ``spent`` to ``inv_id, pos, r``: the state, a number in 0..cap that begins at zero, before and
+    ``after`` each row in order of ``pos``, which is dense from 0 or nearly so.
+
+    An investigation is cut into chunks by position: each chunk is reduced to its state table (end state for every
+    start state), the tables are composed by :func:`_chunk_starts`, and each chunk is replayed from its known start. No
+    group is larger than a chunk's rows or ``fan`` state tables.
     """
-    keyed = charges.withColumn("_chunk", F.floor(F.col("pos") / chunk))
-    rest = [c for c in charges.columns if c not in ("inv_id", "pos", "credits")]
-    row = F.struct("pos", F.col("credits").cast("int").alias("credits"), F.struct(*rest).alias("rest") if rest else F.lit(0).alias("rest"))
-    chunks = keyed.groupBy("inv_id", "_chunk").agg(F.array_sort(
-        F.collect_list(row), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
+    last = rows.agg(F.max("pos").alias("n")).first()["n"]
+    chunks = rows.groupBy("inv_id", F.floor(F.col("pos") / chunk).alias("_chunk")).agg(F.array_sort(
+        F.collect_list(F.struct("pos", "r")), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
     ).alias("rows"))
 
-    def after(spent, credits):
-        return F.when(credits < 0, F.greatest(F.lit(0), spent + credits)).when(
-            spent + credits <= cap, spent + credits
-        ).otherwise(spent)
-
     def end_state(start):
-        return F.aggregate("rows", start, lambda s, r: after(s, r["credits"]))
+        return F.aggregate("rows", start, lambda s, x: after(s, x["r"]))
 
     # The first chunk always starts at zero; only later ones need the whole table.
     tables = chunks.select("inv_id", "_chunk", F.when(
         F.col("_chunk") == 0, F.array(end_state(F.lit(0)))
     ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap)), end_state)).alias("table"))
-    many = chunks.groupBy("inv_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    ordered = tables.join(many, "inv_id", "left_semi").groupBy("inv_id").agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "table"))).alias("t")
-    )
-    state = F.struct(F.lit(0).alias("s"), F.array().cast("array<struct<_chunk:bigint,start:int>>").alias("seen"))
-    starts = ordered.select("inv_id", F.inline(F.aggregate("t", state, lambda acc, c: F.struct(
-        F.coalesce(F.get(c["table"], F.when(c["_chunk"] == 0, F.lit(0)).otherwise(acc["s"])), acc["s"]).alias("s"),
-        F.concat(acc["seen"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["s"].alias("start")))).alias("seen"),
-    ))["seen"]))
-    walked = chunks.join(starts, ["inv_id", "_chunk"], "left")
-    begin = F.struct(
-        F.coalesce("start", F.lit(0)).alias("s"), F.array().cast("array<struct<i:int,ok:boolean,spent:int>>").alias("out")
-    )
+    last = (last or 0) // chunk
+    walked = chunks.withColumn("start", F.lit(0)) if last == 0 else chunks.join(
+        _chunk_starts(tables, cap, last, fan), ["inv_id", "_chunk"])
+    begin = F.struct(F.col("start").alias("s"), F.array().cast("array<struct<before:int,spent:int>>").alias("out"))
+    done = walked.withColumn("o", F.aggregate("rows", begin, lambda acc, x: let(after(acc["s"], x["r"]), lambda s: F.struct(
+        s.alias("s"), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("before"), s.alias("spent")))).alias("out"),
+    )))["out"])
+    return done.select("inv_id", F.inline(F.arrays_zip("rows", "o"))).select(
+        "inv_id", "rows.pos", "rows.r", "o.before", "o.spent")
+
+
+def admit(charges: DataFrame, cap: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """Spend in order while the sum fits: a charge that does not fit costs nothing and later, smaller ones
+    may still fit; a negative charge is a refund that stops at zero. Adds ``accepted`` and ``spent``.
 
-    def replay(acc, r):
-        return let(after(acc["s"], r["credits"]), lambda s: F.struct(s.alias("s"), F.concat(acc["out"], F.array(F.struct(
-            F.size(acc["out"]).alias("i"),
-            ((r["credits"] <= 0) | (acc["s"] + r["credits"] <= cap)).alias("ok"), s.alias("spent"),
-        ))).alias("out")))
+    ``charges``: ``inv_id, pos`` (dense from 0 or nearly so)``, credits``.
+    """
+    rest = [c for c in charges.columns if c not in ("inv_id", "pos", "credits")]
+    rows = charges.select("inv_id", "pos", F.struct(F.col("credits").cast("int").alias("credits"), *rest).alias("r"))
 
-    done = walked.withColumn("o", F.aggregate("rows", begin, replay)["out"]).select(
-        "inv_id", F.inline(F.arrays_zip("rows", "o"))
-    )
-    return done.select(
-        "inv_id", "rows.pos", "rows.credits", *([F.col(f"rows.rest.{c}").alias(c) for c in rest]),
-        F.col("o.ok").alias("accepted"), F.col("o.spent").alias("spent"),
+    def after(spent, r):
+        credits = r["credits"]
+        return F.when(credits < 0, F.greatest(F.lit(0), spent + credits)).when(
+            spent + credits <= cap, spent + credits
+        ).otherwise(spent)
+
+    return _walk(rows, cap, after, chunk, fan).select(
+        "inv_id", "pos", "r.credits", *[F.col(f"r.{c}").alias(c) for c in rest],
+        ((F.col("r.credits") <= 0) | (F.col("before") + F.col("r.credits") <= cap)).alias("accepted"), "spent",
     )
 
 
@@ -150,6 +169,23 @@ def allot_pages(rounds: Column, cap: Column) -> Column:
     return F.aggregate(F.array_sort(rounds), start, step)["out"]
 
 
+def allot_rounds(rounds: DataFrame, cap: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+    """:func:`allot_pages` for any number of rounds. ``rounds``: ``inv_id, round`` (dense from 1 or nearly so)``, wanted,
+    reserve``; returns ``inv_id, round, granted, not_fetched``."""
+    rows = rounds.select("inv_id", (F.col("round") - 1).alias("pos"), F.struct(
+        F.col("wanted").cast("bigint").alias("wanted"), F.col("reserve").cast("bigint").alias("reserve")).alias("r"))
+
+    def after(spent, r):
+        left = F.lit(cap) - spent
+        asked = F.when(r["reserve"] > 0, F.least(r["wanted"], F.greatest(F.lit(0).cast("bigint"), left - r["reserve"]))).otherwise(r["wanted"])
+        return (spent + F.greatest(F.lit(0).cast("bigint"), F.least(asked, left.cast("bigint")))).cast("int")
+
+    granted = (F.col("spent") - F.col("before")).cast("bigint")
+    return _walk(rows, cap, after, chunk, fan).select(
+        "inv_id", (F.col("pos") + 1).cast("bigint").alias("round"), granted.alias("granted"),
+        (F.col("r.wanted") - granted).alias("not_fetched"))
+
+
 def budget_snapshot(charges: DataFrame, pages: DataFrame, budgets: DataFrame) -> DataFrame:
     """Credits and pages spent per investigation next to their caps. ``pages``: ``inv_id, granted``."""
     spent = charges.groupBy("inv_id").agg(F.sum(F.when(F.col("accepted"), F.col("credits")).otherwise(0)).alias("credits"),

@@ -765,9 +765,9 @@ def page_allotment(spark, sf):
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     r = li.withColumn("round", F.row_number().over(w).cast("bigint"))
-    g = r.groupBy("l_orderkey").agg(F.collect_list(F.struct("round", F.col("l_quantity").cast("bigint").alias("wanted"),
-                                                            F.when(F.col("round") == 1, 30).otherwise(0).cast("bigint").alias("reserve"))).alias("rounds"))
-    return g.select("l_orderkey", F.inline(usage.allot_pages(F.col("rounds"), F.lit(90).cast("bigint")))).select("l_orderkey", "round", "granted")
+    rounds = r.select(F.col("l_orderkey").alias("inv_id"), "round", F.col("l_quantity").cast("bigint").alias("wanted"),
+                      F.when(F.col("round") == 1, 30).otherwise(0).cast("bigint").alias("reserve"))
+    return usage.allot_rounds(rounds, 90).select(F.col("inv_id").alias("l_orderkey"), "round", "granted")
 
 
 # ---------------------------------------------------------------------------------------- responses

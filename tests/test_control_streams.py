@@ -41,6 +41,22 @@ def test_budget_equals_sequential_walk(spark, chunk):
     assert got == want
 
 
+@pytest.mark.parametrize(("chunk", "fan"), [(2, 2), (3, 4)])
+def test_budget_states_are_composed_in_steps(spark, chunk, fan):
+    rng = np.random.default_rng(fan)
+    costs = {f"i{i}": [int(c) for c in rng.choice([0, 1, 2, 3, 5, -1, -2], n)] for i, n in enumerate((1, 2, 5, 150))}
+    rows = [(i, n, c) for i, mine in costs.items() for n, c in enumerate(mine)]
+    got = {}
+    for r in usage.admit(spark.createDataFrame(rows, "inv_id string, pos long, credits int"), 6, chunk, fan).orderBy("inv_id", "pos").collect():
+        got.setdefault(r.inv_id, []).append((r.accepted, r.spent))
+    assert got == {i: walk_budget(mine, 6) for i, mine in costs.items()}
+    wanted = {i: [(abs(c), int(rng.choice([0, 0, 30]))) for c in mine] for i, mine in costs.items()}
+    rounds = spark.createDataFrame([(i, n + 1, w, r) for i, mine in wanted.items() for n, (w, r) in enumerate(mine)], "inv_id string, round long, wanted long, reserve long")
+    per = rounds.groupBy("inv_id").agg(F.collect_list(F.struct("round", "wanted", "reserve")).alias("r"))
+    want = per.select("inv_id", F.inline(usage.allot_pages(F.col("r"), F.lit(60).cast("long"))))
+    assert sorted(map(tuple, usage.allot_rounds(rounds, 60, chunk, fan).collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_budget_cases(spark):
     c = spark.createDataFrame([("i", n, x, f"s{n}") for n, x in enumerate([2, 2, 1, 1])], "inv_id string, pos long, credits int, step string")
     a = usage.admit(c, 3)

@@ -218,6 +218,18 @@ def test_copies_equal_sequential_rule(spark):
     assert got == want
 
 
+def test_many_copies_of_one_investigation(spark):
+    """Thousands of pictures that resemble no other, with a few that do: only the few are walked together."""
+    rng = np.random.default_rng(5)
+    hashes = [int(h) for h in rng.integers(-2**63, 2**63 - 1, 3000)]
+    hashes += [h ^ 9 for h in hashes[:40]] + hashes[20:60]
+    rows = [("i", n, f"u{n}", h, 100 + n % 700, 300, str(rng.choice(["upload", "page", "platform"])), None) for n, h in enumerate(hashes)]
+    schema = "inv_id string, pos int, url string, phash long, width int, height int, source string, found_on string"
+    df = spark.createDataFrame(rows, schema)
+    got = [(r.url, r.phash, r.width, r.height, r.source) for r in images.dedupe_copies(df).orderBy("id").collect()]
+    assert got == copies_by_hand(rows)
+
+
 def test_unsearched_order(spark):
     rows = [("i", 1, "http://u/1", 1000, 800, "upload", []), ("i", 2, "http://p/2", 736, 552, "page", []), ("i", 3, "https://pbs.twimg.com/3", 900, 900, "platform", []),
             ("i", 4, "http://p/4", 200, 200, "page", []), ("i", 5, "http://p/5", 2000, 2000, "page", ["e"])]
