@@ -24,12 +24,12 @@ MOST_REPETITION = 1.5        # of a rare source, while the largest is read once
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; texts without a letter and undecided ones go."""
+    """Documents whose language is told; texts without a letter, undecided ones and those of languages not learned go."""
     rows = results(docs)
     model = language.fit_languages(rows.filter(~held_out()))
     packed = docs.select(F.struct("*").alias("id"), F.col("text").alias("snippet"))
     told = language.identify(packed, model)
-    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("id.*")
+    return told.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & (F.col("margin") >= 0)).select("id.*")
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,9 +19,14 @@ SMOOTHING = 0.5
 #: About so many labelled rows of each language are learned from, spread evenly over all of them by a hash of the id.
 ROWS_PER_LANGUAGE = 4_000
 UNKNOWN = "und"
+#: A text is in its language's range if its mean log probability per n-gram is at most so many of the language's own
+#: standard deviations below the language's own mean, and a second share, over the root of its characters, more.
+RANGE, RANGE_SHORT = 1.2, 2.5
 # ---------------------------------------------------------------------------------------------------
 
 _EASY = re.compile(r"[A-Za-z]")
+_NO_WORDS = re.compile(r"\S*[\d@/=]\S*")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str | None) -> bool:
@@ -52,19 +57,40 @@ def bucket_runs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     """``matrix``: log probability of each bucket in each language (float32, languages x buckets); bounded by the
-    number of languages, whatever the number of texts."""
+    number of languages, whatever the number of texts. ``means``, ``spreads``: mean and standard deviation of the log
+    probability of an n-gram of each language's own texts, each occurrence judged by all others."""
     languages: list[str]
     priors: np.ndarray
     matrix: np.ndarray
+    means: np.ndarray
+    spreads: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """The likeliest language of each text and its posterior probability. The sparse counts of a text are its
-        n-gram buckets, in turn; their log probabilities are gathered and added up by text."""
+    def _logs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text's n-grams in each language, and their number."""
         found, at = bucket_runs(texts)
-        sums = np.stack([np.add.reduceat(row[found], at[:-1], dtype=np.float64) for row in self.matrix], 1) + self.priors
+        return np.stack([np.add.reduceat(row[found], at[:-1], dtype=np.float64) for row in self.matrix], 1), np.diff(at)
+
+    def _margins(self, logs: np.ndarray, n: np.ndarray, best: np.ndarray) -> np.ndarray:
+        off = (logs[np.arange(len(best)), best] / n - self.means[best]) / self.spreads[best]
+        return off + RANGE + RANGE_SHORT / np.sqrt(n / len(ORDERS))
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The likeliest language of each text, its posterior probability, and by how many standard deviations the text
+        is inside the language's range. The sparse counts of a text are its n-gram buckets, in turn; their log
+        probabilities are gathered and added up by text. A text that is outside is looked at again without numbers,
+        addresses and signs, which are not of any language."""
+        logs, n = self._logs(texts)
+        sums = logs + self.priors
         best = sums.argmax(1)
         odds = np.exp(sums - sums.max(1, keepdims=True))
-        return [self.languages[b] for b in best], odds[np.arange(len(best)), best] / odds.sum(1)
+        margins = self._margins(logs, n, best)
+        if len(out := np.flatnonzero(margins < 0)):
+            bare = [" ".join(_LETTERS.findall(_NO_WORDS.sub(" ", texts[i]))) for i in out]
+            margins[[i for i, b in zip(out, bare) if not b]] = 0  # nothing speaks against it
+            if again := [(i, b) for i, b in zip(out, bare) if b]:
+                at = np.array([i for i, _ in again])
+                margins[at] = np.maximum(margins[at], self._margins(*self._logs([b for _, b in again]), best[at]))
+        return [self.languages[b] for b in best], odds[np.arange(len(best)), best] / odds.sum(1), margins
 
 
 def _text_blocks(column: pa.Array):
@@ -80,7 +106,7 @@ def fit_languages(results: DataFrame, id: str = "id", text: str = "snippet", lan
     rows = results.select(F.col(id).alias("id"), F.col(text).alias("snippet"), F.col(language).alias("language")).filter("language is not null")
     sizes = {r["language"]: r["count"] for r in rows.groupBy("language").count().orderBy("language").collect()}
     if not sizes:
-        return LanguageModel([], np.zeros(0), np.zeros((0, BUCKETS), np.float32))
+        return LanguageModel([], np.zeros(0), np.zeros((0, BUCKETS), np.float32), np.zeros(0), np.zeros(0))
     languages = sorted(sizes)
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, rows_per_language / sizes[k])))])
     place = F.create_map(*[x for i, k in enumerate(languages) for x in (F.lit(k), F.lit(i))])
@@ -102,33 +128,41 @@ def fit_languages(results: DataFrame, id: str = "id", text: str = "snippet", lan
     sums = on_bytes(taken, step, "place int, bucket int, n bigint").groupBy("place", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((len(languages), BUCKETS))
     counts[sums["place"].to_numpy(np.int64), sums["bucket"].to_numpy(np.int64)] = sums["n"].to_numpy()
+    seen = counts.sum(1, keepdims=True)
+    share = counts / np.maximum(seen, 1)
+    others = np.log((np.maximum(counts - 1, 0) + SMOOTHING) / (np.maximum(seen - 1, 0) + SMOOTHING * BUCKETS))
+    means = (share * others).sum(1)
+    spreads = np.sqrt((share * (others - means[:, None]) ** 2).sum(1))
     counts += SMOOTHING
     total = sum(sizes.values())
-    return LanguageModel(languages, np.log([sizes[k] / total for k in languages]), np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32))
+    matrix = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+    return LanguageModel(languages, np.log([sizes[k] / total for k in languages]), matrix, means, np.maximum(spreads, 0.1))
 
 
 def identify(results: DataFrame, model: LanguageModel, id: str = "id", text: str = "snippet") -> DataFrame:
     """The language of each search result's text.
 
     ``results``: ``id, snippet``; other columns are not read. Returns one row per row: ``id, lang_pred, score`` (the
-    posterior probability). A text that is null or has no letter is ``und`` with score 0, and so is every text if the
-    model knows no language. Rows that repeat are answered each. Whole texts; no shuffle."""
+    posterior probability, which only compares the learned languages), ``margin`` (below 0: by its n-grams the text is
+    in none of them). A text that is null or has no letter is ``und`` with score and margin 0, and so is every text if
+    the model knows no language. Rows that repeat are answered each. Whole texts; no shuffle."""
     shared = results.sparkSession.sparkContext.broadcast(model)
 
     def step(batch):
         m = shared.value
-        names, scores = [], []
+        names, scores, margins = [], [], []
         for _, texts in _text_blocks(batch.column(1)):
             ask = [i for i, t in enumerate(texts) if m.languages and has_letter(t)]
-            own, own_score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+            own, own_score, own_margin = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
             if ask:
-                found, p = m.predict([texts[i] for i in ask])
+                found, p, margin = m.predict([texts[i] for i in ask])
                 for i, f in zip(ask, found):
                     own[i] = f
-                own_score[ask] = p
+                own_score[ask], own_margin[ask] = p, margin
             names += own
             scores.append(own_score)
-        yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores))], ["id", "lang_pred", "score"])
+            margins.append(own_margin)
+        yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(margins))], ["id", "lang_pred", "score", "margin"])
 
     rows = results.select(F.col(id).alias("id"), F.col(text).alias("snippet"))
-    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, margin double")

@@ -44,5 +44,18 @@ def test_stages(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_languages_not_learned_go(spark):
+    docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
+    foreign = ["Bugün hava çok güzel ve herkes çocuklarla oynamak için parka gidiyor. ", "Tänään on kaunis päivä ja kaikki menevät puistoon leikkimään lasten kanssa. ",
+               "Dzisiaj jest piękny dzień i wszyscy idą do parku, gdzie będą się bawić z dziećmi. ", "Сегодня хорошая погода, и мы идем гулять в парк с детьми. ", "今日はとても良い天気ですね。公園に行きましょう。"]
+    clean = ["Hello", "The cat sat on the mat.", "Das ist gut", "ok", "and the 2353820953013749 4550997810720808 of 19.37.233.111", "THE AND!! OF!! THE!! THAT!! IS!!"]
+    rows = [(90000 + i, t) for i, t in enumerate([*foreign, *(t * 40 for t in foreign), *clean])]
+    extra = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "cast(null as string) lang", "'x' source", "length(text) n_chars")
+    both = docs.unionByName(extra.select(*[extra[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns]))
+    kept = {r["doc_id"] for r in corpus_pipeline.identified(spark, both, SF).select("doc_id").collect()}
+    assert {i for i, _ in rows} & kept == {90000 + len(foreign) * 2 + i for i in range(len(clean))}
+    assert docs.count() == len(kept) - len(clean)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)] and len(corpus_pipeline.STAGES) == 5
