@@ -70,7 +70,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _tables(fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_tables(fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(HASH_SEED)
     letters, places = rng.integers(1, 2**64, 256, np.uint64), rng.integers(0, 2**64, LONG_WORD, np.uint64) | np.uint64(1)
     gap = np.zeros(256, bool)
@@ -84,7 +84,7 @@ def _tables(fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(data: np.ndarray, at: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of a block of rows, and for each row the place of its first word (one more at the
     end). ``fold`` reads A-Z as a-z. ``data`` is the block's bytes, ``at`` where rows begin in it."""
-    letters, places, gap = _tables(fold)
+    letters, places, gap = hash_tables(fold)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, extraction, host_rules, language, mixing, near_dup, quality_fm, token_counts, url_filter, word_bpe
+from sightline.llm import (
+    exact_dedup, extraction, hard_negatives, host_rules, language, mixing, near_dup, quality_fm, token_counts, toxicity, url_filter, vector_codes, word_bpe,
+)
 
 # ---------------------------------------------------------------------------------------- Fixed values
 LINK_WORDS, LINK_SIMILARITY = 4, Fraction(85, 100)
@@ -97,13 +99,73 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_back(pages.select("page_id", "url"), judged, ["url"], "page_id").select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_hash"), "embedding", F.col("label").alias("source"))
+    out = vector_codes.compress_vectors(stored)
+    return out.select(F.col("media_hash").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    origin = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("media_hash"), "embedding", origin.alias("ref_url"))
+    return hard_negatives.mine_negatives(stored, F.col("media_hash") % 100 == 0)
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def left_out():
+        return F.coalesce(F.crc32(F.col("id").cast("string")) % 4 == 2, F.lit(False))
+
+    rows = results(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).filter(~left_out())
+    out = toxicity.score_toxicity(rows, toxicity.fit_toxicity(rows, labels))
+    return out.select(F.col("id").alias("doc_id"), left_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_exact_dedup, op2_token_counts, op3_word_bpe, op4_temperature_mix, op5_quality_fm, op6_host_rules, op7_language_id, op8_jaccard_join,
-        op9_main_text, op10_url_filter,
+        op9_main_text, op10_url_filter, op11_vector_codes, op12_hard_negatives, op13_toxicity,
     )
 }
 
+def _codes_sql() -> str:
+    """Every round in SQL: all parts against all entries, in exact integers that doubles hold."""
+    steps = ["""
+        WITH k AS (
+          SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+          WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), p AS (
+          SELECT vec_id, label, part, x[part * (len(x) // 4) + 1 : (part + 1) * (len(x) // 4)] AS v FROM k, range(4) AS t(part)
+        ), c0 AS (
+          SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v
+          FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT 256)
+        )"""]
+    for r in range(5):
+        steps.append(f"""a{r} AS (
+          SELECT vec_id, p.part, arg_min(entry, (list_dot_product(c.v, c.v) - 2 * list_dot_product(p.v, c.v)) * 256 + entry) AS entry
+          FROM p JOIN c{r} AS c ON p.part = c.part GROUP BY vec_id, p.part
+        )""")
+        if r < 4:
+            steps.append(f"""m{r} AS (
+          SELECT part, entry, list(mean ORDER BY i) AS v FROM (
+            SELECT part, entry, i, floor(sum(v[i]) / count(*)) AS mean
+            FROM p JOIN a{r} USING (vec_id, part), unnest(range(1, len(v) + 1)) AS t(i) GROUP BY part, entry, i
+          ) GROUP BY part, entry
+        ), c{r + 1} AS (
+          SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{r} AS c LEFT JOIN m{r} AS m USING (part, entry)
+        )""")
+    return ", ".join(steps) + """, e AS (
+          SELECT p.vec_id, any_value(label) AS label, string_agg(lower(lpad(to_hex(entry), 2, '0')), '' ORDER BY p.part) AS code,
+            sum(list_dot_product(p.v, p.v) - 2 * list_dot_product(p.v, c.v) + list_dot_product(c.v, c.v))::BIGINT AS error
+          FROM p JOIN a4 USING (vec_id, part) JOIN c4 AS c USING (part, entry) GROUP BY p.vec_id
+        ), d AS (
+          SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, i)) AS codebooks_sha256
+          FROM (SELECT part, entry, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM c4)
+        )
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, d
+    """
+
+
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL = {
@@ -154,4 +216,20 @@ SQL = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (page_id)
     """,
+    "op11_vector_codes": _codes_sql(),
+    "op12_hard_negatives": """
+        WITH r AS (
+          SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS origin, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+          FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+          SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.origin = b.origin AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+          FROM r AS a JOIN r AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+        ), p AS (
+          SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+        )
+        SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY row_number() OVER w <= 10
+    """,
 }

@@ -58,4 +58,4 @@ def test_languages_not_learned_go(spark):
 
 
 def test_every_operator_has_a_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)] and len(corpus_pipeline.STAGES) == 5
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)] and len(corpus_pipeline.STAGES) == 5
