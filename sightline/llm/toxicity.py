@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ PREFIXES = (4, 5, 6, 7)   # bytes of a longer word that are a feature of their o
 PER = 100.0               # words to which a text's densities are related
 #: About so many labelled rows are learned from, spread evenly over all of them by a hash of the id; longer ones than
 #: ``BYTES_LEARNED`` are not among them. Scores read texts of any length.
-ROWS_LEARNED, BYTES_LEARNED = 6_000, 1 << 15
+ROWS_LEARNED, BYTES_LEARNED = 4_000, 1 << 14
 PASSES, FEWEST_STEPS, BATCH, RATE, SPARSE = 15, 1_000, 64, 0.2, 3e-4
 FEWEST_ROWS = 3           # in which a feature must stand to get a weight
 CAUTION = 1e-3            # squared gradient that a weight has seen before the first, so rare features move little
@@ -172,8 +173,9 @@ def learn(bag: Bag, labels: np.ndarray, seed: int = 1, counterfactual: float = C
     bias, seen = float(np.log(share / (1 - share))), CAUTION
     key = np.unique(np.repeat(np.arange(n), np.diff(bag.row)) << BITS | bag.feature)
     usable = np.flatnonzero(np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS) >= FEWEST_ROWS)
-    place = np.full(1 << BITS, -1)
-    place[usable] = np.arange(len(usable))
+    place = np.full(1 << BITS, -1, np.int32)
+    place[usable] = np.arange(len(usable), dtype=np.int32)
+    del key
     features_, row_begin, _ = _kept(bag.feature, bag.row, place)
     distinct_, sentence_begin, _ = _kept(bag.distinct, bag.sentence, place)
     pair_feature, pair_begin, stay = _kept(bag.pair_feature, bag.pair, place)
@@ -258,17 +260,20 @@ def fit_toxicity(
         lists = [pa.array([np.asarray(v, np.int32) for v in c], pa.list_(pa.int32())) for c in (feature, sizes, signed, pairs)]
         yield pa.record_batch([batch.column(0), batch.column(1), *lists, pa.array(words, pa.int64())], ["order", "label", "feature", "sizes", "signed", "pairs", "words"])
 
-    got = on_bytes(rows, step, "order bigint, label int, feature array<int>, sizes array<int>, signed array<int>, pairs array<int>, words bigint").toPandas()
-    got["n"], got["sum"] = got.feature.map(len), got.feature.map(np.sum)
-    got = got.sort_values(["order", "label", "n", "sum"], kind="stable")  # in one order, whichever task was ready first
-    flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.asarray(v, np.int64) for v in got[c])])
+    got = on_bytes(rows, step, "order bigint, label int, feature array<int>, sizes array<int>, signed array<int>, pairs array<int>, words bigint").toArrow().combine_chunks()
+    count = lambda c: pc.list_value_length(got.column(c)).to_numpy().astype(np.int64)
+    totals = [np.add.reduceat(np.append(pc.list_flatten(got.column("feature")).to_numpy(), 0).astype(np.int64), np.minimum(_ends(count("feature"))[:-1], count("feature").sum()))] if got.num_rows else []
+    keys = [*totals, count("feature"), *(got.column(c).to_numpy() for c in ("label", "order"))]
+    got = got.take(pa.array(np.lexsort(keys))) if got.num_rows else got  # in one order, whichever task was ready first
+    flat = lambda c: pc.list_flatten(got.column(c)).to_numpy().astype(np.int32)
     feature, sizes, signed = flat("feature"), flat("sizes"), flat("signed")
     key = np.unique(np.repeat(np.arange(len(sizes)), sizes) << BITS | feature)
     bag = Bag(
-        feature, _ends(got.feature.map(len)), got.words.to_numpy(), key & ((1 << BITS) - 1), _ends(np.bincount(key >> BITS, minlength=len(sizes))),
-        _ends(got.sizes.map(len)), np.where(signed < 0, -1 - signed, signed), np.where(signed < 0, -1.0, 1.0), _ends(flat("pairs")), _ends(got.pairs.map(len)),
+        feature, _ends(count("feature")), got.column("words").to_numpy(), (key & ((1 << BITS) - 1)).astype(np.int32), _ends(np.bincount(key >> BITS, minlength=len(sizes))),
+        _ends(count("sizes")), np.where(signed < 0, -1 - signed, signed), np.where(signed < 0, -1.0, 1.0), _ends(flat("pairs")), _ends(count("pairs")),
     )
-    return learn(bag, got.label.to_numpy(float), counterfactual=counterfactual)
+    del key
+    return learn(bag, got.column("label").to_numpy().astype(float), counterfactual=counterfactual)
 
 
 def score_toxicity(results: DataFrame, model: ToxicityModel, id: str = "id", text: str = "snippet") -> DataFrame:
