@@ -3,26 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions import vectors
 from sightline.operators.skew import salted_join, spread, top_rows
+from sightline.operators.vector_index import SLACK, VectorIndex
 
 # --- Fixed values ----------------------------------------------------------------------------------
 SAME_PICTURE = 8
 PRIOR_SIGHTINGS, PRIOR_SIMILARITY = 5, 0.92
 NEAREST_DEFAULT, NEAREST_SIMILARITY = 5, 0.90
 # ---------------------------------------------------------------------------------------------------
-BLOCK_ROWS = 512
-BLOCKS_PER_SALT = 64
-PIVOTS = 32
 
 
 # ------------------------------------------------------------------------------ Hamming neighbours
@@ -127,127 +121,30 @@ def near_duplicates(
 
 # -------------------------------------------------------------------------------- nearest vectors
 
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    length = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in column])
-
-
-def _pivots(index: DataFrame, n: int) -> np.ndarray:
-    """``n`` rows picked by a hash of the id: a fixed, small number of vectors on the driver."""
-    rows = index.select("embedding", F.xxhash64("media_hash").alias("h")).orderBy("h").limit(n).collect()
-    return _unit(np.array([r["embedding"] for r in rows], dtype="float64")) if rows else np.zeros((0, 1))
-
-
 def nearest(
-    queries: DataFrame, index: DataFrame, k: int = NEAREST_DEFAULT, min_similarity: float = NEAREST_SIMILARITY,
+    queries: DataFrame, index: DataFrame | VectorIndex, k: int = NEAREST_DEFAULT, min_similarity: float = NEAREST_SIMILARITY,
     probe_cells: int | None = None, exclude_self: bool = False, fold_copies: bool = True,
 ) -> DataFrame:
     """The ``k`` most similar indexed vectors of each query with cosine at least ``min_similarity``:
     ``query_id, media_hash, similarity, rank``. Ties go to the smaller id.
 
-    ``queries``: ``query_id, embedding``; ``index``: ``media_hash, embedding``.
-
-    Index vectors live in the cell of their nearest pivot, in rings by angle to it. For a floor s, a
-    vector x within a = acos(s) of query q in the cell of pivot p satisfies
-    ``|angle(q,p) - angle(x,p)| <= a`` and ``angle(q,p) <= min angle(q,.) + 2a`` (triangle inequality),
-    so q meets only those rings by an equi-join. Inside a ring, blocks of vectors are multiplied as
-    matrices and each block pair emits at most k rows per query. The answer is exact; ``probe_cells``
-    limits a query to its nearest cells for the approximate form. With a floor of 0.5 or less the triangle
-    inequality could skip no ring, the work would be that of all pairs, and the call is refused.
+    ``queries``: ``query_id, embedding``; ``index``: a stored :class:`VectorIndex`, or a table of ``media_hash, embedding``
+    that is stored as one first. The answer is exact; ``probe_cells`` limits a query to its nearest cells for the
+    approximate form. A floor of 0.5 or less is refused: at angles of 60 degrees and more, cells overlap so widely that
+    hardly one could be skipped.
 
-    ``fold_copies`` keeps the k smallest ids of identical vectors, which no top-k answer can exceed.
+    ``fold_copies`` keeps the k smallest ids of identical vectors of a table, which no top-k answer can exceed.
     """
-    reach = math.acos(max(-1.0, min(1.0, min_similarity))) + 1e-6
-    if reach >= math.pi / 3:
-        raise ValueError("min_similarity must be above 0.5: below it every pair would be compared")
-    pivots, width = _pivots(index, PIVOTS), reach
-    if len(pivots) == 0:
-        return queries.select("query_id", F.lit("").alias("media_hash"), F.lit(0.0).alias("similarity"),
-                              F.lit(1).alias("rank")).limit(0)
-    kept = index.select("media_hash", "embedding").filter(F.col("embedding").isNotNull())
-    if fold_copies:
-        kept = top_rows(kept, ["embedding"], [F.col("media_hash")], k + int(exclude_self)).drop("_rn")
-
-    @F.pandas_udf("cell int, ring int")
-    def place(embedding: pd.Series) -> pd.DataFrame:
-        angles = np.arccos(np.clip(_unit(_stack(embedding)) @ pivots.T, -1, 1))
-        cell = angles.argmin(axis=1)
-        ring = np.floor(angles[np.arange(len(cell)), cell] / width)
-        return pd.DataFrame({"cell": cell.astype("int32"), "ring": ring.astype("int32")})
-
-    @F.pandas_udf("array<struct<cell:int,ring:int>>")
-    def probe(embedding: pd.Series) -> pd.Series:
-        angles = np.arccos(np.clip(_unit(_stack(embedding)) @ pivots.T, -1, 1))
-        out = []
-        for row in angles:
-            order = row.argsort()[:probe_cells] if probe_cells else np.flatnonzero(row <= row.min() + 2 * reach)
-            out.append([
-                {"cell": int(c), "ring": r} for c in order
-                for r in range(int(max(0.0, row[c] - reach) // width), int((row[c] + reach) // width) + 1)
-            ])
-        return pd.Series(out)
-
-    cell = ["cell", "ring"]
-    held = kept.withColumn("p", place("embedding")).select("media_hash", "embedding", "p.cell", "p.ring")
-    asked = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull()).withColumn(
-        "p", F.explode(probe("embedding"))
-    ).select("query_id", "embedding", "p.cell", "p.ring")
-    held_cells, asked_cells = _cells(held, "held_blocks"), _cells(asked, "asked_blocks")
-    # Probes of empty rings end here, before anything is packed.
-    layout = F.broadcast(held_cells.join(asked_cells, cell).withColumn(
-        "salts", F.ceil(F.col("asked_blocks") / BLOCKS_PER_SALT).cast("int")))
-    key = [*cell, "block", "salt"]
-    # Every block of vectors meets every batch of queries of its ring; a block asked by very many batches
-    # is repeated per salt and the batches are dealt out.
-    blocks = _packed(held.join(layout, cell), "media_hash", "held_blocks", ["asked_blocks", "salts"]).select(
-        *cell, "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("rows").alias("held"))
-    batches = _packed(asked.join(layout, cell), "query_id", "asked_blocks", ["held_blocks", "salts"]).select(
-        *cell, F.pmod(F.col("block"), F.col("salts")).alias("salt"), F.col("rows").alias("asked"),
-        F.explode(F.sequence(F.lit(0), F.col("held_blocks") - 1)).alias("block"))
-    met = spread(batches, *key).join(spread(blocks, *key), key).select("asked", "held")
-    id_type, query_type = dict(index.dtypes)["media_hash"], dict(queries.dtypes)["query_id"]
-
-    def multiply(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in tables:
-            for i in range(t.num_rows):
-                q_ids, q = _matrix(t.column("asked")[i])
-                h_ids, h = _matrix(t.column("held")[i])
-                sims = np.round(q @ h.T, 12)
-                qi, hi = np.nonzero(sims >= min_similarity)
-                out = pd.DataFrame({"query_id": q_ids[qi], "media_hash": h_ids[hi], "similarity": sims[qi, hi]})
-                if exclude_self:
-                    out = out[out["query_id"] != out["media_hash"]]
-                out = out.sort_values(["query_id", "similarity", "media_hash"], ascending=[True, False, True])
-                yield pa.RecordBatch.from_pandas(out.groupby("query_id", sort=False).head(k), preserve_index=False)
-
-    found = met.mapInArrow(multiply, f"query_id {query_type}, media_hash {id_type}, similarity double")
-    return top_rows(found, ["query_id"], [F.desc("similarity"), F.col("media_hash")], k, "rank")
-
-
-def _cells(df: DataFrame, name: str) -> DataFrame:
-    """Block counts per cell and ring: a bounded table, at most pivots x angle rings."""
-    return df.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
-
-
-def _packed(df: DataFrame, id_col: str, blocks: str, carried: list[str]) -> DataFrame:
-    """Rows of one ring packed into blocks of about :data:`BLOCK_ROWS` vectors; a crowded ring simply has
-    more blocks, so no group grows with the data."""
-    return df.groupBy(
-        "cell", "ring", F.pmod(F.xxhash64(id_col), F.col(blocks)).cast("int").alias("block")
-    ).agg(
-        *[F.first(c).alias(c) for c in carried], F.collect_list(F.struct(F.col(id_col).alias("id"), "embedding")).alias("rows"))
-
-
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and unit vectors of one packed block, read from the Arrow buffers."""
-    values = rows.values
-    vectors_ = values.field("embedding")
-    flat = vectors_.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return values.field("id").to_numpy(zero_copy_only=False), _unit(flat.reshape(len(vectors_), -1))
+    if math.acos(max(-1.0, min(1.0, min_similarity))) + SLACK >= math.pi / 3:
+        raise ValueError("min_similarity must be above 0.5: below it nearly every pair would be compared")
+    if not isinstance(index, VectorIndex):
+        kept = index.select("media_hash", "embedding").filter(F.col("embedding").isNotNull())
+        if fold_copies:
+            # The hash is sorted on first, so whole vectors are compared within copies alone.
+            named = kept.withColumn("_h", F.xxhash64("embedding"))
+            kept = top_rows(named, ["_h", "embedding"], [F.col("media_hash")], k + int(exclude_self)).drop("_rn", "_h")
+        index = VectorIndex.create(kept)
+    return index.search(queries, k, min_similarity, probe_cells, exclude_self)
 
 
 def prior_sightings(queries: DataFrame, index: DataFrame) -> DataFrame:
