@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.columns import let
+from sightline.operators import scans
 
 # --- Fixed values ----------------------------------------------------------------------------------
 BUDGETS = (
@@ -18,7 +17,6 @@ PER_MINUTE, PAID_PER_MINUTE, PAID_PER_DAY = 200, 10, 200
 FAILURES_TO_OPEN, OPEN_SECONDS = 5, 60
 COOLDOWN_SECONDS, COOLDOWN_STATUSES = 90, (429, 503)
 # ---------------------------------------------------------------------------------------------------
-CHUNK, FAN = 512, 64
 
 
 def _since(days: int, as_of: Column) -> Column:
@@ -65,77 +63,44 @@ def admit_unit_costs(charges: DataFrame, cap: Column) -> DataFrame:
     ).drop("_ok")
 
 
-def _chunk_starts(tables: DataFrame, cap: int, last: int, fan: int) -> DataFrame:
-    """``inv_id, _chunk, start``: the state in which each chunk begins. ``fan`` neighbouring state tables are composed
-    into one, as often as it takes to have one left, and the known start is handed down the same way."""
-    if last == 0:
-        return tables.select("inv_id", "_chunk", F.lit(0).alias("start"))
-    packs = tables.groupBy("inv_id", F.floor(F.col("_chunk") / fan).alias("_pack")).agg(
-        F.array_sort(F.collect_list(F.struct("_chunk", "table"))).alias("t"))
+class _Charge(scans.Rule):
+    """A charge is spent where it fits, a refund stops at zero."""
+    reads = ["credits"]
 
-    def through(start):
-        return F.aggregate("t", start, lambda s, c: F.get(c["table"], s))
+    def after(self, spent, credits):
+        if credits is None or spent + credits > self.cap:
+            return spent
+        return max(0, spent + credits)
 
-    composed = packs.select("inv_id", F.col("_pack").alias("_chunk"), F.when(
-        F.col("_pack") == 0, F.array(through(F.lit(0)))
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap)), through)).alias("table"))
-    above = _chunk_starts(composed, cap, last // fan, fan).withColumnRenamed("_chunk", "_pack")
-    begin = F.struct(F.col("start").alias("s"), F.array().cast("array<struct<_chunk:bigint,start:int>>").alias("seen"))
-    return packs.join(above, ["inv_id", "_pack"]).select("inv_id", F.inline(F.aggregate("t", begin, lambda acc, c: F.struct(
-        F.get(c["table"], acc["s"]).alias("s"),
-        F.concat(acc["seen"], F.array(F.struct(c["_chunk"].alias("_chunk"), acc["s"].alias("start")))).alias("seen"),
-    ))["seen"]))
+    def pieces(self, credits):
+        cap, credits = self.cap, credits or 0
+        if credits < 0:
+            return scans.Pieces.of(cap, [(0, False, 0), *([(-credits, True, credits)] if -credits <= cap else [])])
+        if credits == 0 or credits > cap:
+            return scans.Pieces.same(0, cap)
+        return scans.Pieces.of(cap, [(0, True, credits), (cap - credits + 1, True, 0)])
 
+    def bounds(self, low, high, credits):
+        fits = self.cap - (credits or 0)
+        if (credits or 0) <= 0 or high <= fits or low > fits:
+            return self.after(low, credits), self.after(high, credits)
+        return min(low + credits, fits + 1), self.cap
 
-def _walk(rows: DataFrame, cap: int, after: Callable[[Column, Column], Column], chunk: int, fan: int) -> DataFrame:
-    """Adds ``before`` and ``spent`` to ``inv_id, pos, r``: the state, a number in 0..cap that begins at zero, before and
-    ``after`` each row in order of ``pos``, which is dense from 0 or nearly so.
 
-    An investigation is cut into chunks by position: each chunk is reduced to its state table (end state for every
-    start state), the tables are composed by :func:`_chunk_starts`, and each chunk is replayed from its known start. No
-    group is larger than a chunk's rows or ``fan`` state tables.
-    """
-    last = rows.agg(F.max("pos").alias("n")).first()["n"]
-    chunks = rows.groupBy("inv_id", F.floor(F.col("pos") / chunk).alias("_chunk")).agg(F.array_sort(
-        F.collect_list(F.struct("pos", "r")), lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
-    ).alias("rows"))
-
-    def end_state(start):
-        return F.aggregate("rows", start, lambda s, x: after(s, x["r"]))
-
-    # The first chunk always starts at zero; only later ones need the whole table.
-    tables = chunks.select("inv_id", "_chunk", F.when(
-        F.col("_chunk") == 0, F.array(end_state(F.lit(0)))
-    ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(cap)), end_state)).alias("table"))
-    last = (last or 0) // chunk
-    walked = chunks.withColumn("start", F.lit(0)) if last == 0 else chunks.join(
-        _chunk_starts(tables, cap, last, fan), ["inv_id", "_chunk"])
-    begin = F.struct(F.col("start").alias("s"), F.array().cast("array<struct<before:int,spent:int>>").alias("out"))
-    done = walked.withColumn("o", F.aggregate("rows", begin, lambda acc, x: let(after(acc["s"], x["r"]), lambda s: F.struct(
-        s.alias("s"), F.concat(acc["out"], F.array(F.struct(acc["s"].alias("before"), s.alias("spent")))).alias("out"),
-    )))["out"])
-    return done.select("inv_id", F.inline(F.arrays_zip("rows", "o"))).select(
-        "inv_id", "rows.pos", "rows.r", "o.before", "o.spent")
-
-
-def admit(charges: DataFrame, cap: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def admit(charges: DataFrame, cap: int, chunk: int | None = None, fan: int = scans.FAN) -> DataFrame:
     """Spend in order while the sum fits: a charge that does not fit costs nothing and later, smaller ones
-    may still fit; a negative charge is a refund that stops at zero. Adds ``accepted`` and ``spent``.
+    may still fit; a negative charge is a refund that stops at zero, a null one changes nothing. Adds ``accepted`` and
+    ``spent``.
 
-    ``charges``: ``inv_id, pos`` (dense from 0 or nearly so)``, credits``.
+    ``charges``: ``inv_id, pos, credits``; positions may have gaps. ``chunk`` and ``fan``: about how many rows are summed up at
+    a time, and how many sums are composed at a time; the result does not depend on them.
     """
     rest = [c for c in charges.columns if c not in ("inv_id", "pos", "credits")]
-    rows = charges.select("inv_id", "pos", F.struct(F.col("credits").cast("int").alias("credits"), *rest).alias("r"))
-
-    def after(spent, r):
-        credits = r["credits"]
-        return F.when(credits < 0, F.greatest(F.lit(0), spent + credits)).when(
-            spent + credits <= cap, spent + credits
-        ).otherwise(spent)
-
-    return _walk(rows, cap, after, chunk, fan).select(
-        "inv_id", "pos", "r.credits", *[F.col(f"r.{c}").alias(c) for c in rest],
-        ((F.col("r.credits") <= 0) | (F.col("before") + F.col("r.credits") <= cap)).alias("accepted"), "spent",
+    rows = charges.select("inv_id", "pos", F.col("credits").cast("int").alias("credits"), *rest)
+    walked = scans.replay(rows, "inv_id", "pos", _Charge(cap), chunk, fan)
+    return walked.select(
+        "inv_id", "pos", "credits", *rest,
+        ((F.col("credits") <= 0) | (F.col("before") + F.col("credits") <= cap)).alias("accepted"), F.col("spent").cast("int").alias("spent"),
     )
 
 
@@ -169,21 +134,34 @@ def allot_pages(rounds: Column, cap: Column) -> Column:
     return F.aggregate(F.array_sort(rounds), start, step)["out"]
 
 
-def allot_rounds(rounds: DataFrame, cap: int, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """:func:`allot_pages` for any number of rounds. ``rounds``: ``inv_id, round`` (dense from 1 or nearly so)``, wanted,
-    reserve``; returns ``inv_id, round, granted, not_fetched``."""
-    rows = rounds.select("inv_id", (F.col("round") - 1).alias("pos"), F.struct(
-        F.col("wanted").cast("bigint").alias("wanted"), F.col("reserve").cast("bigint").alias("reserve")).alias("r"))
+class _Round(scans.Rule):
+    """A round takes what it wants out of what is left above its reserve."""
+    reads = ["wanted", "reserve"]
+
+    def after(self, spent, wanted, reserve):
+        left = self.cap - spent
+        asked = min(wanted or 0, max(0, left - reserve)) if (reserve or 0) > 0 else wanted or 0
+        return spent + max(0, min(asked, left))
+
+    def pieces(self, wanted, reserve):
+        wanted, limit = wanted or 0, self.cap - max(0, reserve or 0)
+        if wanted <= 0 or limit <= 0:
+            return scans.Pieces.same(0, self.cap)
+        grows = [(0, True, wanted)] if wanted <= limit else []
+        # Up to the limit; a state beyond it stays.
+        return scans.Pieces.of(self.cap, [*grows, (max(0, limit - wanted + 1), False, limit), *([(limit + 1, True, 0)] if limit < self.cap else [])])
+
+    def bounds(self, low, high, wanted, reserve):
+        return self.after(low, wanted, reserve), self.after(high, wanted, reserve)  # more spent before is more spent after
 
-    def after(spent, r):
-        left = F.lit(cap) - spent
-        asked = F.when(r["reserve"] > 0, F.least(r["wanted"], F.greatest(F.lit(0).cast("bigint"), left - r["reserve"]))).otherwise(r["wanted"])
-        return (spent + F.greatest(F.lit(0).cast("bigint"), F.least(asked, left.cast("bigint")))).cast("int")
 
-    granted = (F.col("spent") - F.col("before")).cast("bigint")
-    return _walk(rows, cap, after, chunk, fan).select(
-        "inv_id", (F.col("pos") + 1).cast("bigint").alias("round"), granted.alias("granted"),
-        (F.col("r.wanted") - granted).alias("not_fetched"))
+def allot_rounds(rounds: DataFrame, cap: int, chunk: int | None = None, fan: int = scans.FAN) -> DataFrame:
+    """:func:`allot_pages` for any number of rounds. ``rounds``: ``inv_id, round, wanted, reserve``; returns ``inv_id, round,
+    granted, not_fetched``."""
+    rows = rounds.select("inv_id", "round", F.col("wanted").cast("bigint").alias("wanted"), F.col("reserve").cast("bigint").alias("reserve"))
+    walked = scans.replay(rows, "inv_id", "round", _Round(cap), chunk, fan)
+    granted = F.col("spent") - F.col("before")
+    return walked.select("inv_id", F.col("round").cast("bigint").alias("round"), granted.alias("granted"), (F.col("wanted") - granted).alias("not_fetched"))
 
 
 def budget_snapshot(charges: DataFrame, pages: DataFrame, budgets: DataFrame) -> DataFrame:
