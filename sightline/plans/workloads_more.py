@@ -304,7 +304,24 @@ def first_seen_after_filter(spark, sf):
 
 # ------------------------------------------------------------------------------------------ pictures
 
-@query()
+@query("""
+WITH RECURSIVE f AS (SELECT vec_id // 10 AS video_id, vec_id % 10 AS frame_no,
+  list_sum(list_transform(range(0, 64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::UBIGINT << (63 - i)) ELSE 0::UBIGINT END))::UBIGINT AS phash,
+  list_sum(list_transform(embedding, lambda x: abs(x)::DOUBLE)) * 10 AS std, abs(embedding[1]) * 1000::FLOAT AS sharpness FROM embeddings),
+n AS (SELECT video_id, count(*) AS n FROM f GROUP BY 1),
+u AS (SELECT f.*, n FROM f JOIN n USING (video_id) WHERE std >= 12 AND sharpness >= 25),
+s AS (SELECT video_id, coalesce(arg_max(frame_no, sharpness) FILTER (frame_no BETWEEN n // 3 AND 2 * n // 3), arg_max(frame_no, sharpness)) AS first_no FROM u GROUP BY 1),
+w AS (
+  SELECT video_id, 1 AS r, list({'no': frame_no, 'phash': phash} ORDER BY frame_no <> first_no) AS chosen
+  FROM u JOIN s USING (video_id) WHERE frame_no = first_no OR frame_no = 0 GROUP BY 1
+  UNION ALL
+  SELECT video_id, r + 1, list_append(chosen, best) FROM (
+    SELECT video_id, r, any_value(chosen) AS chosen, max(gap) AS gap, arg_max({'no': frame_no, 'phash': phash}, gap * 1000 - frame_no) AS best FROM (
+      SELECT w.video_id, w.r, w.chosen, u.frame_no, u.phash, list_min(list_transform(w.chosen, lambda c: bit_count(xor(c.phash, u.phash)))) AS gap
+      FROM w JOIN u ON u.video_id = w.video_id WHERE len(w.chosen) < 4) GROUP BY 1, 2)
+  WHERE gap >= 6)
+SELECT video_id, unnest(arg_max(chosen, r)).no AS frame_no FROM w GROUP BY video_id
+UNION ALL SELECT video_id, unnest(range(least(4, n))) FROM n WHERE video_id NOT IN (SELECT video_id FROM u)""")
 def keyframes(spark, sf):
     """Ten vectors make a clip. The hash of a frame is its vector's signs; contrast and sharpness are sums over it."""
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
@@ -339,7 +356,23 @@ def _copies(spark, sf):
         F.lit(None).cast("string").alias("found_on"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT 'o' || l_orderkey AS inv_id, CAST(l_linenumber AS BIGINT) * 10000000000 + l_partkey * 100000 + l_suppkey AS pos,
+   CASE WHEN l_partkey % 7 = 0 THEN 'https://pbs.twimg.com/' ELSE 'https://cdn.example/' END || l_partkey AS url,
+   (l_partkey % 3) * 1099511627775 + l_partkey % 2 AS phash, CAST(200 + l_partkey % 900 AS INTEGER) AS width, CAST(200 + l_suppkey % 700 AS INTEGER) AS height,
+   CASE WHEN l_linenumber = 1 THEN 'upload' WHEN l_linenumber = 2 THEN 'frame' WHEN l_linenumber % 2 = 0 THEN 'platform' ELSE 'page' END AS source FROM lineitem),
+r AS (SELECT inv_id, row_number() OVER (PARTITION BY inv_id ORDER BY pos) AS rn, source IN ('page', 'platform') AS owned,
+   {'url': url, 'phash': phash, 'width': width, 'height': height, 'source': source} AS v FROM c),
+w AS (SELECT inv_id, rn, [v] AS kept FROM r WHERE rn = 1
+  UNION ALL SELECT inv_id, rn, CASE WHEN coalesce(twin, 0) = 0 THEN list_append(kept, v)
+     WHEN owned AND kept[twin].source IN ('page', 'platform') AND v.width * v.height > kept[twin].width * kept[twin].height
+     THEN list_transform(kept, lambda k, i: CASE WHEN i = twin THEN {'url': v.url, 'phash': k.phash, 'width': v.width, 'height': v.height, 'source': k.source} ELSE k END)
+     ELSE kept END
+  FROM (SELECT w.inv_id, r.rn, w.kept, r.v, r.owned, list_position(list_transform(w.kept, lambda k:
+     bit_count(xor(k.phash, r.v.phash)) <= 4 AND NOT (r.owned AND k.source IN ('upload', 'small', 'screenshot', 'frame'))), true) AS twin
+   FROM w JOIN r ON r.inv_id = w.inv_id AND r.rn = w.rn + 1)),
+l AS (SELECT inv_id, arg_max(kept, rn) AS kept FROM w GROUP BY 1)
+SELECT inv_id, id, k.url, k.source, k.width, k.height FROM (SELECT inv_id, unnest(kept) AS k, CAST(generate_subscripts(kept, 1) AS INTEGER) AS id FROM l)""")
 def copy_dedupe(spark, sf):
     return images.dedupe_copies(_copies(spark, sf)).select("inv_id", "id", "url", "source", "width", "height")
 
@@ -743,7 +776,7 @@ w AS (SELECT inv_id, pos, credits <= 6 AS accepted, CASE WHEN credits <= 6 THEN
   FROM w JOIN c ON c.inv_id = w.inv_id AND c.pos = w.pos + 1)
 SELECT inv_id, pos, accepted, spent FROM w""")
 def budget_admission(spark, sf):
-    return usage.admit(_charges(spark, sf, F.col("l_linenumber")), 6, chunk=3).select("inv_id", "pos", "accepted", "spent")
+    return usage.admit(_charges(spark, sf, F.col("l_linenumber")), 6).select("inv_id", "pos", "accepted", "spent")
 
 
 @query("""
