@@ -149,8 +149,8 @@ def jsonld_objects(html: Column) -> Column:
 def jsonld_items(html: Column) -> Column:
     """Every JSON-LD value of a page, arrays and ``@graph`` lists opened at whatever depth they lie.
 
-    Each step opens what the step before has found, until nothing is left to open. A level needs a bracket
-    of its own, so the brackets of the bodies are steps enough; steps with nothing open do nothing.
+    Each step opens what the step before has found. A level lies in a bracket of its own, so there are as many steps as
+    brackets are nested in the bodies.
     """
     none = F.array().cast("array<variant>")
 
@@ -164,7 +164,13 @@ def jsonld_items(html: Column) -> Column:
             F.flatten(F.transform(seen, lists_in)).alias("open"), F.concat(state["found"], seen).alias("found")))
         return F.when(F.size(state["open"]) == 0, state).otherwise(deeper)
 
-    levels = F.regexp_count(F.array_join(jsonld_bodies(html), " "), F.lit(r"\[")) + 1
+    # What strings hold is no bracket.
+    bare = F.regexp_replace(F.array_join(jsonld_bodies(html), " "), r'"(?:[^"\\]|\\.)*+"', "")
+    nested = F.aggregate(
+        F.regexp_extract_all(bare, F.lit(r"([\[\]])"), F.lit(1)), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda d, b: let(F.greatest(d["now"] + F.when(b == "[", 1).otherwise(-1), F.lit(0)), lambda now: F.struct(
+            now.alias("now"), F.greatest(d["most"], now).alias("most"))))
+    levels = nested["most"] + 1
     start = F.struct(_jsonld_parsed(html).alias("open"), none.alias("found"))
     return F.aggregate(F.sequence(F.lit(1), levels), start, step, lambda state: state["found"])
 

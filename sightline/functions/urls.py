@@ -338,19 +338,36 @@ def manual_engine_links(image_url: Column) -> Column:
     ])
 
 
+def fold_dots(path: Column) -> Column:
+    """A path from the root without ``.`` and ``..`` segments; ``..`` at the root stays there."""
+    none = F.array().cast("array<string>")
+    parts = F.slice(F.split(path, "/"), 2, F.size(F.split(path, "/")))
+    last = F.element_at(parts, -1)
+    # A last segment that names a folder leaves its slash.
+    whole = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+
+    def step(kept, part):
+        return F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).when(
+            part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    folded = F.concat(F.lit("/"), F.array_join(F.aggregate(whole, none, step), "/"))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def resolve_link(link: Column, base: Column) -> Column:
-    """Absolute form of ``link`` found on the page ``base`` (dot segments are not folded)."""
+    """Absolute form of ``link`` found on the page ``base``; dot segments of a relative link's path are folded."""
     link = F.trim(link, F.lit(_WHITESPACE))
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*((?:/[^/?#]*)*/)", 1)
     folder = F.when(folder == "", "/").otherwise(folder)
     page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    path, rest = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("/"), F.concat(origin, fold_dots(path), rest))
         .when(link.startswith("?"), F.concat(page, link))
         .when(link.startswith("#") | (link == ""), base)
-        .otherwise(F.concat(origin, folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .otherwise(F.concat(origin, fold_dots(F.concat(folder, path)), rest))
     )

@@ -115,7 +115,7 @@ thumb_rows AS (
 thumb_firsts AS (
   SELECT inv_id, canonical, thumb, min(slot) AS slot FROM thumb_rows GROUP BY ALL),
 thumb_lists AS (
-  SELECT inv_id, canonical, array_to_string(list_slice(list(thumb ORDER BY slot, thumb), 1, 4), ',') AS thumbs
+  SELECT inv_id, canonical, string_agg(thumb, ',' ORDER BY slot, thumb) AS thumbs
   FROM thumb_firsts GROUP BY ALL),
 merged_core AS (
   SELECT inv_id, canonical, min(pos) AS pos, arg_min(url, pos) AS url, arg_min(host, pos) AS host,

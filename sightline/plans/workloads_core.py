@@ -29,15 +29,18 @@ def url_canonical(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
 
 
+# A third of the pages share one identity, whatever their own links are.
+SHARED_URL_SQL = "CASE WHEN page_id % 3 = 0 THEN 'https://shared.example/story?utm_source=' || page_id ELSE url END"
+
+
 @query(f"""
-WITH c AS (SELECT page_id, url, {canonical_sql('url')} AS canonical FROM pages)
-SELECT a.page_id, b.page_id AS twin_id FROM c a JOIN c b
-ON a.canonical = b.canonical AND a.page_id < b.page_id""")
+WITH c AS (SELECT page_id, {canonical_sql(SHARED_URL_SQL)} AS canonical FROM pages)
+SELECT page_id, min(page_id) OVER w AS same_id, count(*) OVER w AS members FROM c WINDOW w AS (PARTITION BY canonical)""")
 def url_same(spark, sf):
-    """Links that are the same post, found by an equi-join on identity, in place of comparing pairs."""
-    c = C.with_canonical(table(spark, sf, "pages").select("page_id", "url")).select("page_id", "canonical")
-    twin = c.select("canonical", F.col("page_id").alias("twin_id"))
-    return c.join(twin, "canonical").filter(F.col("page_id") < F.col("twin_id")).select("page_id", "twin_id")
+    """Links that are the same post, as classes: a row per link with the class's first and its size, no pairs."""
+    u = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://shared.example/story?utm_source="), "page_id")).otherwise(F.col("url"))
+    p = table(spark, sf, "pages").select("page_id", u.alias("url"))
+    return C.same_links(p, "page_id").select("page_id", F.col("same_id"), "members")
 
 
 @query(f"""
@@ -309,6 +312,46 @@ def html_dates(spark, sf):
     return e.select("o_orderkey", F.concat_ws("|", "e.source", F.col("e.confidence").cast("string"), iso(F.col("e.date"))).alias("evidence"))
 
 
+LANDED_SQL = """lp AS (SELECT page_id, page_id % 4 AS k, DATE '2015-01-01' + CAST(page_id % 3000 AS INTEGER) AS d FROM pages)"""
+
+
+@query(f"""
+WITH {LANDED_SQL}
+SELECT page_id, unnest(CASE k WHEN 0 THEN ['meta:article:published_time|0.95|' || strftime(d, '%Y-%m-%d 08:30:00')]
+  WHEN 1 THEN ['jsonld:datePublished|0.9|' || strftime(d, '%Y-%m-%d 00:00:00'), 'jsonld:uploadDate|0.9|' || strftime(d + 1, '%Y-%m-%d 00:00:00')]
+  WHEN 2 THEN ['time:datetime|0.65|' || strftime(d, '%Y-%m-%d 00:00:00'), 'itemprop:datePublished|0.65|' || strftime(d, '%Y-%m-%d 00:00:00'),
+    'time:datePublished|0.8|' || strftime(d, '%Y-%m-%d 00:00:00')] ELSE [] END) AS evidence FROM lp""")
+def html_dates_landed(spark, sf):
+    """Whole landed pages into whose heads and articles a dated tag is set; those without one state no date."""
+    k, d = F.col("page_id") % 4, F.date_add(F.lit("2015-01-01").cast("date"), (F.col("page_id") % 3000).cast("int"))
+    day, cat = F.date_format(d, "yyyy-MM-dd"), F.concat
+    graph = cat(F.lit('<head><script type="application/ld+json">{"@graph":[{"@type":"A [b"},[[{"datePublished":"'), day,
+                F.lit('"}]],{"@graph":[{"uploadDate":"'), F.date_format(F.date_add(d, 1), "yyyy-MM-dd"), F.lit('"}]}]}</script>'))
+    head = F.when(k == 0, cat(F.lit("<head><meta content='"), day, F.lit("T08:30:00Z' property='article:published_time'>"))).when(k == 1, graph).otherwise("<head>")
+    body = F.when(k == 2, cat(F.lit('<article><time itemprop="datePublished" datetime="'), day, F.lit('">then</time>'))).otherwise("<article>")
+    p = table(spark, sf, "pages").select("page_id", F.replace(F.replace("html", F.lit("<head>"), head), F.lit("<article>"), body).alias("html"))
+    stated = F.concat(html.jsonld_date_evidence(F.col("html"), as_of()), html.tag_date_evidence(F.col("html"), as_of()))
+    return p.select("page_id", F.explode(stated).alias("e")).select(
+        "page_id", F.concat_ws("|", "e.source", F.col("e.confidence").cast("string"), iso(F.col("e.date"))).alias("evidence"))
+
+
+@query(r"""
+WITH u AS (SELECT page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin,
+  [s FOR s IN string_split(regexp_extract(url, '^[a-z]+://[^/?#]*/?([^?#]*)', 1), '/')] AS parts FROM pages),
+f AS (SELECT *, list_slice(parts, 1, -2) AS folder, list_slice(parts, 1, -3) AS above FROM u)
+SELECT page_id, unnest([
+  origin || '/' || array_to_string(list_concat(above, ['img', page_id || '.jpg?a=../b']), '/'), origin || '/top/' || page_id || '.png',
+  origin || '/' || array_to_string(list_concat(folder, ['pics', 'a' || page_id || '.png']), '/'), 'https://cdn.example/x/../' || page_id]) AS image FROM f""")
+def candidate_images(spark, sf):
+    """Pictures set into whole landed pages: relative links with dot segments, ones too small or drawn, and repeats."""
+    cat, n = F.concat, F.col("page_id")
+    head = cat(F.lit('<head><meta property="og:image" content="../img/'), n, F.lit('.jpg?a=../b"><meta content="/a/.././top/'), n, F.lit('.png" name="twitter:image">'))
+    body = cat(F.lit('<article><img src="./pics/b/../a'), n, F.lit('.png" width="300px"><img src="/i.svg"><img src="/s.png" height=20><img data-src="https://cdn.example/x/../'), n,
+               F.lit('"><img src="data:image/png;base64,AA"><img src="/top/'), n, F.lit('.png">'))
+    p = table(spark, sf, "pages").select("page_id", "url", F.replace(F.replace("html", F.lit("<head>"), head), F.lit("<article>"), body).alias("html"))
+    return p.select("page_id", F.explode(html.candidate_images(F.col("html"), F.col("url"))).alias("image"))
+
+
 @query("SELECT page_id, 0 AS n_stated FROM pages")
 def html_date_none(spark, sf):
     """Whole landed pages that state no date anywhere."""

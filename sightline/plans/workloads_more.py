@@ -813,6 +813,30 @@ def _bodies(spark, sf, item, section_of):
                     section_of(F.transform("items", item)).alias("body"))
 
 
+@query(r"""
+WITH p AS (SELECT page_id, 'r' || (page_id // 10) AS inv_id, url, 'Story ' || page_id || repeat(' and more of it', 20) AS title FROM pages)
+SELECT 'bing' AS engine, inv_id, url AS link, title, 'What & where: ' || title AS snippet, NULL AS image_url, NULL AS crawl_date, 'big fire' AS caption FROM p
+UNION ALL SELECT 'tineye', inv_id, url, '', NULL, 'https://img.example/f/' || page_id || '.png',
+  strftime(DATE '2020-01-01' + CAST(page_id % 1500 AS INTEGER), '%Y-%m-%dT%H:%M:%SZ'), NULL FROM p""")
+def rendered_results(spark, sf):
+    """Both rendered result pages, each of ten landed pages, with titles and snippets beyond any display width."""
+    p = table(spark, sf, "pages").select("page_id", "url")
+    n, link = F.col("page_id"), F.replace("url", F.lit("&"), F.lit("&amp;"))
+    title = F.concat(F.lit("Story "), n, F.repeat(F.lit(" and more of it"), 20))
+    bing = F.concat(F.lit('<li class="x b_algo"><h2><a href="'), link, F.lit('">'), title, F.lit("</a></h2><p>What &amp; where: "), title, F.lit("</p></li>"))
+    tineye = F.concat(F.lit('<h4><a href="'), link, F.lit('" data-test="match-link">w</a></h4><a href="https://img.example/f/'), n, F.lit('.png">f</a><span>1200 x 675</span><b data-test="crawl-date">'),
+                      F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (n % 1500).cast("int")), "MMM d, yyyy"), F.lit("</b>"))
+
+    def pages(engine, item):
+        g = p.groupBy(F.floor(n / 10).alias("g")).agg(F.array_join(F.collect_list(item), "").alias("html"))
+        return g.select(F.concat(F.lit("r"), "g").alias("inv_id"), F.lit(engine).alias("engine"), F.lit(1).alias("copy_id"), "html", F.lit("https://www.bing.com/search?q=big+fire").alias("final_url"))
+
+    none = F.lit(None).cast("string")
+    a = responses.rendered_bing(pages("bing", bing)).select("engine", "inv_id", "link", "title", "snippet", none.alias("image_url"), none.alias("crawl_date"), "caption")
+    b = responses.rendered_tineye(pages("tineye", tineye), as_of()).select("engine", "inv_id", "link", "title", none.alias("snippet"), "image_url", "crawl_date", none.alias("caption"))
+    return a.unionByName(b)
+
+
 @query("""
 SELECT 'r' || (page_id // 10) AS inv_id, url AS link, 'similar' AS match_type, 'P' || page_id AS title, 'https://t.example/' || page_id AS thumbnail,
   CASE WHEN page_id % 2 = 0 THEN 'https://t.example/' || page_id END AS image_url FROM pages WHERE page_id % 4 <> 0

@@ -224,9 +224,9 @@ def rendered_bing(pages: DataFrame) -> DataFrame:
         return F.struct(
             let(unwrap_redirect(H.unescape(F.regexp_extract(scope, anchor, 1))), lambda u: F.when(
                 ~u.rlike(r"bing\.com|microsoft\.com"), u)).alias("link"),
-            F.substring(H.visible_text(F.regexp_extract(scope, anchor, 2)), 1, 200).alias("title"),
+            H.visible_text(F.regexp_extract(scope, anchor, 2)).alias("title"),
             F.lit("organic").alias("match_type"),
-            F.substring(H.visible_text(F.regexp_extract(b, r"(?is)<p\b[^>]*>(.*?)</p>", 1)), 1, 200).alias("snippet"),
+            H.visible_text(F.regexp_extract(b, r"(?is)<p\b[^>]*>(.*?)</p>", 1)).alias("snippet"),
             F.col("caption"),
         )
 
@@ -237,7 +237,7 @@ def rendered_bing(pages: DataFrame) -> DataFrame:
 
 def harvest_links(responses: DataFrame) -> DataFrame:
     """Text and links of an answer: cited ones, those carried by tool results, those written in the text;
-    first-seen order, own host dropped, the first twenty."""
+    first-seen order, own host dropped."""
     items = _list(F.col("v"), "$.output")
     is_message = lambda i: F.coalesce(_text(i, "$.type") == "message", F.lit(False))
     parts = F.flatten(F.transform(F.filter(items, is_message), lambda i: _list(i, "$.content")))

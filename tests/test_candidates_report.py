@@ -82,7 +82,7 @@ def test_prescreen_reads_every_thumbnail(spark):
         s = C.prescreen(m, cmp, rows=limit, thumbs=thumbs)
         assert {r.pos: (r.thumb_verdict, r.thumb_distance) for r in s.collect()} == {0: ("match", 3), 9: ("unknown", None)}
     assert [r.pos for r in C.rank_candidates(s, AS_OF).orderBy("rank").collect()] == [0, 9]
-    assert [len(r.thumbs) for r in C.merge_candidates(df, thumbs_kept=None).orderBy("pos").collect()] == [7, 1]
+    assert [len(r.thumbs) for r in C.merge_candidates(df).orderBy("pos").collect()] == [7, 1]
 
 
 def test_text_queries_and_pools(spark):
