@@ -88,7 +88,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The url goes with the page's id through the operator.
     pages = table(spark, sf_dir, "pages").select(F.struct("page_id", "url").alias("page_id"), "html")
-    return extraction.extract_pages(pages).select("page_id.*", "text", F.length("text").cast("bigint").alias("n_chars"))
+    return extraction.extract_pages(pages, "page_id").select("page_id.*", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
