@@ -40,35 +40,42 @@ def domain_shares(results: DataFrame) -> DataFrame:
     return totals.withColumn("share", F.col("total") / F.lit(float(whole)))
 
 
-def find_exponent(shares: DataFrame, most_repetition: float | None = None, least_entropy: float | None = None) -> float:
-    """The exponent a nearest to 1 (the natural mixture) such that, with weights share^a, every domain is read at
-    most ``most_repetition`` times as often as the largest one, or the mixture's entropy (in nats) is at least
-    ``least_entropy``; 0 (all domains alike) where no exponent reaches it.
-
-    Repetition: smaller exponents repeat rare domains more, so the limit is kept by exponents near 1, and the bisection
-    takes the smallest of them. It needs the extreme shares alone. Entropy: each bisection step is one aggregation over
-    the domains, of which two numbers come back."""
-    if (most_repetition is None) == (least_entropy is None):
-        raise ValueError("one target: most_repetition or least_entropy")
+def find_exponent(shares: DataFrame, most_repetition: float | None = None, least_entropy: float | None = None, evenness: float | None = None) -> float:
+    """The exponent a of weights share^a: 1 is the natural mixture, 0 reads all domains alike. One of three targets:
+
+    ``most_repetition``: the flattest mixture in which no domain is read more than so many times as often as the largest
+    one; it needs the extreme shares alone. ``least_entropy`` (in nats): the mixture closest to the natural one whose
+    entropy is no less; 0 where none has it. ``evenness``: the same, for the entropy that lies so far on the way
+    (0 to 1) from the natural mixture's to that of equal weights. Each step of the bisection for an entropy is one
+    aggregation over the domains, of which two numbers come back."""
+    if sum(t is not None for t in (most_repetition, least_entropy, evenness)) != 1:
+        raise ValueError("one target: most_repetition, least_entropy or evenness")
     if most_repetition is not None:
         low, high = shares.agg(F.min("share"), F.max("share")).first()
         if not low or most_repetition < 1:
             return 1.0
         # Repetition of the rarest domain while the largest is read once: (high / low)^(1 - a).
         return round(1.0 - bisect(lambda flat: (high / low) ** flat > most_repetition), DIGITS)
+
     def entropy(a: float) -> float:
         z, s = shares.agg(F.sum(F.pow("share", F.lit(a))), F.sum(F.pow("share", F.lit(a)) * F.log("share"))).first()
         return math.log(z) - a * s / z if z else 0.0
+
+    if evenness is not None:
+        natural, n = entropy(1.0), shares.count()
+        least_entropy = natural + evenness * (math.log(n) - natural) if n else 0.0
     return bisect(lambda a: entropy(a) < least_entropy, steps=24)
 
 
-def mixture(results: DataFrame, most_repetition: float | None = MOST_REPETITION, least_entropy: float | None = None, budget: int | None = None) -> DataFrame:
+def mixture(
+    results: DataFrame, most_repetition: float | None = MOST_REPETITION, least_entropy: float | None = None, evenness: float | None = None, budget: int | None = None,
+) -> DataFrame:
     """``domain, total, weight, quota, epochs``: the tokens that each domain gives to the mixture.
 
     ``results``: ``domain, n_tokens``. ``budget``: tokens of the whole mixture; without one, the least that reads every
     text once."""
     shares = domain_shares(results)
-    a = find_exponent(shares, most_repetition, least_entropy)
+    a = find_exponent(shares, most_repetition, least_entropy, evenness)
     powered = shares.withColumn("p", F.pow("share", F.lit(a)))
     z, most = powered.agg(F.sum("p"), F.max(F.col("total") / F.col("p"))).first()
     whole = float(budget) if budget is not None else (most or 0.0) * (z or 1.0)
@@ -82,7 +89,7 @@ def permutation_key(epoch, id, seed: int):
 
 def mix_results(
     results: DataFrame, id: str = "id", domain: str = "domain", n_tokens: str = "n_tokens", most_repetition: float | None = MOST_REPETITION,
-    least_entropy: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 1,
+    least_entropy: float | None = None, evenness: float | None = None, budget: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 1,
 ) -> DataFrame:
     """Mixes search results by domain: which are read in which epoch and block.
 
@@ -99,7 +106,7 @@ def mix_results(
     within a piece, so a domain with a third of all rows is thousands of groups."""
     rows = results.select(F.col(id).alias("id"), F.col(domain).alias("domain"), F.greatest(F.coalesce(F.col(n_tokens).cast("bigint"), F.lit(0)), F.lit(0)).alias("n_tokens"))
     rows = settle(rows.filter("n_tokens > 0"))  # tokens are often counted in this very plan
-    plan = settle(mixture(rows, most_repetition, least_entropy, budget))
+    plan = settle(mixture(rows, most_repetition, least_entropy, evenness, budget))
     rows = join_back(rows, plan, ["domain"], "id", "inner")
     read = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1))).filter("quota > 0")
     read = read.withColumn("key", permutation_key(F.col("epoch"), F.col("id"), seed)).withColumn("piece", F.substring("key", 1, BUCKET_DIGITS))

@@ -17,7 +17,7 @@ LINK_WORDS, LINK_SIMILARITY = 4, Fraction(85, 100)
 RULES = (
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"),
 )
-MIX_REPETITION = 4.0
+MIX_EVENNESS = 0.5        # half of the way from the natural mixture's entropy to that of equal weights
 BLOCK_TOKENS = 1_000_000
 # ---------------------------------------------------------------------------------------------------
 
@@ -35,7 +35,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out():
-    return F.crc32(F.col("id").cast("string")) % 3 == 1
+    """Of a null id: false."""
+    return F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op3_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = results(table(spark, sf_dir, "documents")).select("id", "domain", mixing.word_count(F.col("snippet")).alias("n_tokens"))
-    out = mixing.mix_results(rows, most_repetition=MIX_REPETITION, block_tokens=BLOCK_TOKENS)
+    out = mixing.mix_results(rows, most_repetition=None, evenness=MIX_EVENNESS, block_tokens=BLOCK_TOKENS)
     return out.select(F.col("id").alias("doc_id"), F.col("domain").alias("source"), "n_tokens", "epoch", "block", "key")
 
 
@@ -175,15 +176,23 @@ SQL = {
         FROM t WINDOW w AS (PARTITION BY text_sha256)
     """,
     "op4_temperature_mix": rf"""
-        WITH t AS (
+        WITH RECURSIVE t AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens FROM documents
         ), s AS (
           SELECT source, sum(n_tokens)::BIGINT AS total FROM t GROUP BY source HAVING sum(n_tokens) > 0
         ), p AS (
           SELECT source, total, total / (SELECT sum(total)::DOUBLE FROM s) AS share FROM s
+        ), h AS (
+          SELECT -sum(share * ln(share)) + {MIX_EVENNESS} * (ln(count(*)) + sum(share * ln(share))) AS target FROM p
+        ), steps AS (
+          SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+          UNION ALL
+          SELECT i + 1, CASE WHEN entropy < target THEN low ELSE middle END, CASE WHEN entropy < target THEN middle ELSE high END
+          FROM (SELECT i, low, high, (low + high) / 2 AS middle,
+                  ln(sum(pow(share, (low + high) / 2))) - (low + high) / 2 * sum(pow(share, (low + high) / 2) * ln(share)) / sum(pow(share, (low + high) / 2)) AS entropy
+                FROM steps, p WHERE i < 24 GROUP BY i, low, high), h
         ), e AS (
-          SELECT round(1 - CASE WHEN max(share) / min(share) <= {MIX_REPETITION} THEN 1
-                 ELSE floor(ln({MIX_REPETITION}) / ln(max(share) / min(share)) * 1e6) / 1e6 END, 6) AS a FROM p
+          SELECT CASE WHEN (SELECT -sum(share * ln(share)) < target FROM p, h GROUP BY target) THEN floor(max(low) * 1e6) / 1e6 ELSE 1 END AS a FROM steps
         ), q AS (
           SELECT source, total, pow(share, a) AS p FROM p, e
         ), z AS (

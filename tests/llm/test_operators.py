@@ -123,6 +123,43 @@ def test_mixture_keeps_its_limits(spark):
     assert mixing.mix_results(rows.filter("false")).count() == 0
 
 
+def test_encoding_of_every_code_point():
+    """Each between a letter and a digit."""
+    from tokenizers import Tokenizer
+
+    t, bpe = Tokenizer.from_file(WORDS), word_bpe.WordBpe(open(WORDS, "rb").read())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for first in range(0, len(points), 64):
+        run = points[first:first + 64]
+        s = " ".join(f"a{chr(c)}1" for c in run)
+        ids = t.encode(s, add_special_tokens=False).ids
+        assert bpe.encode(s) == struct.pack(f"<{len(ids)}I", *ids), hex(run[0])
+
+
+def test_the_bisected_exponent(spark):
+    """Against a fine grid, on unequal shares and on those of the given table, where the target must bind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("source as domain", "text")
+    given = docs.select("domain", mixing.word_count(F.col("text")).alias("n_tokens"))
+    uneven = spark.createDataFrame([("a", 700), ("b", 200), ("c", 99), (None, 1)], "domain string, n_tokens int")
+    for rows in (given, uneven):
+        shares = mixing.domain_shares(rows)
+        p = np.array([r["share"] for r in shares.collect()])
+
+        def entropy(a):
+            w = p ** a / (p ** a).sum()
+            return -(w * np.log(w)).sum()
+
+        for evenness in (0.25, 0.5, 0.9):
+            a = mixing.find_exponent(shares, evenness=evenness)
+            target = entropy(1) + evenness * (np.log(len(p)) - entropy(1))
+            grid = max(x for x in np.arange(0, 1.0001, 1e-3) if entropy(x) >= target)
+            assert 0 < a < 1 and grid <= a + 1e-6 and a < grid + 1e-3 and entropy(a) >= target
+    assert mixing.find_exponent(shares, evenness=0.0) == 1.0 and mixing.find_exponent(shares, evenness=1.0) < 0.01
+    assert mixing.find_exponent(shares.filter("false"), evenness=0.5) == 1.0
+    with pytest.raises(ValueError):
+        mixing.find_exponent(shares, most_repetition=2.0, evenness=0.5)
+
+
 def test_mixture_on_awkward_results(results):
     rows = results.withColumn("n_tokens", mixing.word_count(F.col("snippet")))
     out = mixing.mix_results(rows, most_repetition=2.0)
