@@ -21,7 +21,16 @@ from sightline.llm.merging import Memo, Merges
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r \x85\xa0  -     　\p{L}\p{N}]+"
 MEMO_WORDS = 300_000      # of a worker; about 80 MB
 LONG_WORD = 256           # characters; not remembered
-UNICODE = "15.1.0"        # the character table that the library splits by, and Python's own
+#: The library's characters are those of Unicode 16. Letters and numbers that came later, which it takes for signs:
+LATER = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB
+11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24
+1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479
+3D000-3FC3F
+"""
+#: Capitals that the library lowers and Python's own table does not have yet.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -34,25 +43,13 @@ def byte_letters() -> dict[int, str]:
 
 @functools.cache
 def splitters():
-    """The splitting rule, a search for characters that it would take wrongly, and the rule for texts with such ones.
-
-    ``regex`` follows a newer character table: letters and numbers that it knows and the library's table does not are
-    signs. They are those that ``unicodedata`` (of version ``UNICODE``) has as unassigned."""
-    unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
-    runs: list[list[int]] = []
-    for c in map(ord, regex.findall(r"[\p{L}\p{N}]", unassigned)):
-        if runs and runs[-1][1] == c - 1:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    later = "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
-    find = regex.compile(WORDS).findall
-    if not later:
-        return find, lambda text: None, find
+    """The splitting rule, a search for characters that are rare and that ``regex`` or Python takes otherwise than the
+    library, and the rule for texts with such ones."""
+    later = "".join("-".join(chr(int(x, 16)) for x in r.split("-")) for r in LATER.split())
     known = WORDS.replace(r"[\p{L}]+", rf"(?:(?![{later}])\p{{L}})+").replace(r"|[\p{N}]|", rf"|(?![{later}])\p{{N}}|")
     head, signs = known.rsplit("|", 1)
-    known = head + rf"|(?:[{later}]|{signs[:-1]})+"
-    return find, regex.compile(f"[{later}]").search, regex.compile(known).findall
+    rare = regex.compile(f"[{later}{''.join(map(chr, CAPITALS))}]").search
+    return regex.compile(WORDS).findall, rare, regex.compile(head + rf"|(?:[{later}]|{signs[:-1]})+").findall
 
 
 class WordBpe:
@@ -65,7 +62,7 @@ class WordBpe:
         self.merges = Merges((self.ids[a], self.ids[b], r, self.ids[a + b]) for r, (a, b) in enumerate(model["merges"]))
         self.special = {t["content"]: t["id"] for t in d["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.usual, self.later, self.known = splitters()
+        self.usual, self.rare, self.known = splitters()
         self.parted = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.letters = [self.ids.get(c, -1) for _, c in sorted(byte_letters().items())]
         self.ends = [self.ids.get(c + self.end, -1) for _, c in sorted(byte_letters().items())]
@@ -83,7 +80,7 @@ class WordBpe:
         # Letter by letter: a capital sigma is never read as the final one.
         text = (text.replace("Σ", "σ") if "Σ" in text else text).lower()
         memo = self.memo = self.memo.renewed()
-        out.extend(map(memo.__getitem__, (self.known if self.later(text) else self.usual)(text)))
+        out.extend(map(memo.__getitem__, self.known(text.translate(CAPITALS)) if self.rare(text) else self.usual(text)))
 
     def encode(self, text: str) -> bytes:
         """A whole text's ids, packed; special strings inside it are their special tokens."""
