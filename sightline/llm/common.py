@@ -24,15 +24,35 @@ HASH_SEED = 20240501
 # ---------------------------------------------------------------------------------------------------
 
 
-def settle(df: DataFrame) -> DataFrame:
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def settle(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps neither recompute it nor depend on the
-    executor that made it, and the optimizer knows its real size before it considers a broadcast."""
+    executor that made it, and the optimizer knows its real size before it considers a broadcast. ``batch_rows``: of one
+    Arrow batch, for steps whose rows are long; the session's own number holds again afterwards."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/sightline-llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch_rows:
+        spark.conf.set(BATCH_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(*settled: DataFrame) -> None:
+    """Deletes settled tables that no later step reads."""
+    for df in settled:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/sightline-llm-" in folder:
+                sc = df.sparkSession.sparkContext
+                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def on_bytes(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` for a step that takes one batch at a time."""
     def run(batches):

@@ -22,6 +22,11 @@ _FOLD[65:91] += 32
 _WEIGHTS = np.random.default_rng(7).integers(1, 2**32, 256, np.uint32)
 
 
+def folded(text):
+    """A text column as it is compared: null as empty, A-Z as a-z."""
+    return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def cuts(text: np.ndarray, usual: int = CHUNK_USUAL) -> list[int]:
     """Ends of the chunks of one folded text. A cut depends on the last ``WINDOW`` bytes and on the cut before it, so
     equal texts have equal cuts, and an insertion changes only the chunks around it."""

@@ -139,13 +139,14 @@ def fit_languages(results: DataFrame, id: str = "id", text: str = "snippet", lan
     return LanguageModel(languages, np.log([sizes[k] / total for k in languages]), matrix, means, np.maximum(spreads, 0.1))
 
 
-def identify(results: DataFrame, model: LanguageModel, id: str = "id", text: str = "snippet") -> DataFrame:
+def identify(results: DataFrame, model: LanguageModel, id: str = "id", text: str = "snippet", keep_text: bool = False) -> DataFrame:
     """The language of each search result's text.
 
     ``results``: ``id, snippet``; other columns are not read. Returns one row per row: ``id, lang_pred, score`` (the
     posterior probability, which only compares the learned languages), ``margin`` (below 0: by its n-grams the text is
     in none of them). A text that is null or has no letter is ``und`` with score and margin 0, and so is every text if
-    the model knows no language. Rows that repeat are answered each. Whole texts; no shuffle."""
+    the model knows no language. Rows that repeat are answered each. ``keep_text`` hands the text on
+    as ``snippet``. Whole texts; no shuffle."""
     shared = results.sparkSession.sparkContext.broadcast(model)
 
     def step(batch):
@@ -162,7 +163,8 @@ def identify(results: DataFrame, model: LanguageModel, id: str = "id", text: str
             names += own
             scores.append(own_score)
             margins.append(own_margin)
-        yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(margins))], ["id", "lang_pred", "score", "margin"])
+        told = [pa.array(names, pa.string()), pa.array(np.concatenate(scores)), pa.array(np.concatenate(margins))]
+        yield pa.record_batch([batch.column(0), *told, *batch.columns[1:1 + keep_text]], ["id", "lang_pred", "score", "margin", "snippet"][:4 + keep_text])
 
     rows = results.select(F.col(id).alias("id"), F.col(text).alias("snippet"))
-    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, margin double")
+    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double, margin double" + ", snippet string" * keep_text)

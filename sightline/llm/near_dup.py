@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import components, join_back, mix, on_bytes, row_shingles, settle
+from sightline.llm.common import components, forget, join_back, mix, on_bytes, row_shingles, settle
 
 # ---------------------------------------------------------------------------------------- Fixed values
 SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
@@ -20,6 +20,9 @@ SHINGLE_WORDS, SIMILARITY = 5, Fraction(4, 5)
 PARTS, LEFT_OUT = 3, 1
 SIGNATURE_ROWS = 1 << 16  # signatures in one Arrow batch, about
 FEWEST_PARTS, MOST_PARTS = 32, 1 << 16   # of a profile; one or two parts a shingle
+FEWEST_FOLDS, FOLD = 256, 4   # the short profile that goes with every pair: so many parts, or a quarter of the profile's
+PAIR_ROWS = 256           # pairs in one Arrow batch where both sides carry whole texts or profiles
+FOLD_ROWS = 2048          # where they carry short profiles
 BLOCK_MEMBERS = 512       # of a hub's members that meet in one task
 # ---------------------------------------------------------------------------------------------------
 
@@ -74,15 +77,20 @@ class PartEnum:
 
 
 def _classes(rows: DataFrame, size: int) -> DataFrame:
-    """``id, n_shingles, like``: ``like`` is a 128-bit name of the row's shingle set, null for an empty set."""
+    """``id, h, n_shingles, like, fold, profile``: ``like`` is a 128-bit name of the row's shingle set, null for an empty set;
+    ``h`` a hash of the text."""
     def step(batch):
-        n, names = [], []
+        n, names, short, whole = [], [], [], []
         for s in row_shingles(batch.column(1), size):
             n.append(len(s))
             names.append(np.array([mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else None)
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary())], ["id", "n_shingles", "like"])
+            short.append(fold(s) if len(s) else None)
+            whole.append(profile(s) if len(s) else None)
+        kept = [pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (names, short, whole))]
+        yield pa.record_batch([batch.column(0), batch.column(2), *kept], ["id", "h", "n_shingles", "like", "fold", "profile"])
 
-    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, like binary")
+    rows = rows.select("id", "text_content", F.xxhash64("text_content").alias("h"))
+    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, h bigint, n_shingles bigint, like binary, fold binary, profile binary")
 
 
 def _signatures(rows: DataFrame, size: int, scheme: PartEnum) -> DataFrame:
@@ -145,11 +153,29 @@ def profile(features: np.ndarray) -> bytes:
     return np.minimum(np.bincount((features & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 255).astype(np.uint8).tobytes()
 
 
-def profiles(column: pa.Array) -> np.ndarray:
-    """Profiles (rows x parts) of one width, the narrowest of them: parts that a narrower one joins are added up."""
-    rows = [np.frombuffer(p, np.uint8) for p in column.to_pylist()]
+def fold(features: np.ndarray) -> bytes:
+    """A profile of fewer parts, again a power of two, two parts a byte; 15 stands for any larger number."""
+    parts = max(FEWEST_FOLDS, len(profile(features)) // FOLD)
+    held = np.minimum(np.bincount((features & np.uint64(parts - 1)).astype(np.int64), minlength=parts), 15).astype(np.uint8)
+    return (held[::2] | held[1::2] << 4).tobytes()
+
+
+def profiles(column: pa.Array, by: str = "profile") -> np.ndarray:
+    """Profiles or folds (rows x parts) of one width, the narrowest of them: parts that a narrower one joins are added up,
+    and a full one stands for any number."""
+    rows = column.to_pylist()
     width = min(map(len, rows))
-    return np.stack([np.where((r == 255).any(), 1 << 20, r.astype(np.int32).reshape(-1, width).sum(0)) for r in rows])
+
+    def counts(raw: bytes) -> np.ndarray:
+        held = np.frombuffer(raw, np.uint8)
+        if by == "fold":
+            held = np.stack([held & 15, held >> 4], 1).ravel()
+        return np.where(held == (15 if by == "fold" else 255), 1 << 20, held.astype(np.int32))
+
+    if max(map(len, rows)) == width:
+        return counts(b"".join(rows)).reshape(len(rows), -1)
+    width *= 2 if by == "fold" else 1
+    return np.stack([counts(r).reshape(-1, width).sum(0) for r in rows])
 
 
 def may_link(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray, at_least: Fraction) -> np.ndarray:
@@ -159,26 +185,28 @@ def may_link(mine: np.ndarray, theirs: np.ndarray, n: np.ndarray, m: np.ndarray,
     return room * (at_least.numerator + at_least.denominator) >= (n + m) * at_least.numerator
 
 
-def _with_profiles(rows: DataFrame, size: int) -> DataFrame:
-    """``id, text_content, n, profile``."""
-    def step(batch):
-        sets = [(len(s), profile(s)) for s in row_shingles(batch.column(1), size)]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([n for n, _ in sets], pa.int64()), pa.array([p for _, p in sets], pa.binary())], ["id", "text_content", "n", "profile"])
-
-    return on_bytes(rows, step, f"id {rows.schema['id'].dataType.simpleString()}, text_content string, n bigint, profile binary")
+def _one_text(rows: DataFrame) -> DataFrame:
+    """One row per id: that whose text has the least hash."""
+    return rows.groupBy("id").agg(F.min_by("text_content", F.xxhash64("text_content")).alias("text_content"))
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, at_least: Fraction) -> DataFrame:
-    """The pairs whose profiles leave room for the similarity."""
+def _likely(pairs: DataFrame, nodes: DataFrame, at_least: Fraction, by: str) -> DataFrame:
+    """The pairs whose sizes and profiles (column ``by``) leave room for the similarity."""
     kind = pairs.schema["id"].dataType.simpleString()
-    theirs = nodes.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("profile").alias("hub_profile"))
-    both = pairs.join(nodes.select("id", "n", "profile"), "id").join(theirs, "hub").select("hub", "id", "n", "profile", "m", "hub_profile")
+    theirs = nodes.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col(by).alias("theirs"))
+    both = pairs.join(nodes.select("id", "n", F.col(by).alias("mine")), "id").join(theirs, "hub")
+    both = both.filter(F.least("n", "m") * at_least.denominator >= F.greatest("n", "m") * at_least.numerator).select("hub", "id", "n", "mine", "m", "theirs")
 
     def step(batch):
         n, m = batch.column(2).to_numpy(), batch.column(4).to_numpy()
         keep = np.zeros(len(n), bool)
-        for k, (p, q) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
-            two = profiles(pa.array([p, q], pa.binary()))
+        mine, theirs = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+        short = np.array([len(p) == len(q) == FEWEST_FOLDS // 2 for p, q in zip(mine, theirs)], bool)
+        if short.any():  # most are, and of one width
+            sides = (profiles(pa.array([v for v, s in zip(side, short) if s], pa.binary()), by) for side in (mine, theirs))
+            keep[short] = may_link(*sides, n[short], m[short], at_least)
+        for k in np.flatnonzero(~short):
+            two = profiles(pa.array([mine[k], theirs[k]], pa.binary()), by)
             keep[k] = may_link(two[0], two[1], n[k], m[k], at_least)
         yield pa.record_batch([batch.column(i).filter(pa.array(keep)) for i in (0, 1)], ["hub", "id"])
 
@@ -186,18 +214,18 @@ def _likely(pairs: DataFrame, nodes: DataFrame, at_least: Fraction) -> DataFrame
 
 
 def _around_hubs(members: DataFrame, nodes: DataFrame, at_least: Fraction) -> DataFrame:
-    """``hub, id``: pairs of members of one hub that are in different components (``part``) and whose profiles leave
-    room. ``members``: ``hub, id, part``.
+    """``hub, id``: pairs of members of one hub that are in different components (``part``) and whose folds leave room.
+    ``members``: ``hub, id, part``. A hub with one other member has no pair that it was not itself in.
 
     A hub's members are dealt out to blocks, and each two blocks meet in a task of their own: a task holds about two
     blocks, whatever the number of members."""
     kind = members.schema["id"].dataType.simpleString()
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), (F.min("part") != F.max("part")).alias("open")).filter("open").select(
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), (F.min("part") != F.max("part")).alias("open")).filter("open and members > 2").select(
         "hub", F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int").alias("n_blocks"))
     placed = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
     placed = placed.withColumn("o", other).select("hub", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "part")
-    placed = placed.join(nodes.select("id", "n", "profile"), "id").select(F.struct("hub", "i", "j").alias("key"), "block", "i", "j", "id", "part", "n", "profile")
+    placed = placed.join(nodes.select("id", "n", "fold"), "id").select(F.struct("hub", "i", "j").alias("key"), "block", "i", "j", "id", "part", "n", "fold")
     placed = placed.repartition("key").sortWithinPartitions("key")
 
     def pairs_of(group: pa.Table):
@@ -207,7 +235,7 @@ def _around_hubs(members: DataFrame, nodes: DataFrame, at_least: Fraction) -> Da
         _, part = np.unique(group.column("part").to_numpy(), return_inverse=True)
         if len(n) < 2 or part.max() == 0:
             return None
-        held, left, right = profiles(group.column("profile")), [], []
+        held, left, right = profiles(group.column("fold"), "fold"), [], []
         for k in range(len(n)):
             # Each pair once: the second after the first within a block, the second block's against the first's.
             against = np.flatnonzero((part != part[k]) & ((np.arange(len(n)) > k) if i == j else (block == j))) if i == j or block[k] == i else []
@@ -242,6 +270,7 @@ def _around_hubs(members: DataFrame, nodes: DataFrame, at_least: Fraction) -> Da
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``hub, id, common, either``: sizes of intersection and union of the shingle sets of pairs of rows."""
+    texts = _one_text(texts.join(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "id", "left_semi"))
     a = texts.select(F.col("id").alias("hub"), F.col("text_content").alias("hub_text"))
     both = pairs.join(texts.select("id", "text_content"), "id").join(a, "hub").select("hub", "id", "hub_text", "text_content")
     kind = pairs.schema["id"].dataType.simpleString()
@@ -271,10 +300,12 @@ def near_duplicates(
 
     Steps. Rows with one shingle set are a class, named by its least id. Every row's PartEnum signatures go to the
     tasks of their values; within one, rows meet a hub rather than each other. Hubs and rows are replaced by their
-    classes; pairs whose profiles (counts of shingles by part of the domain) leave no room for the similarity are passed
-    over, the others compared exactly. Two rows that met at one hub and are not in one component yet may still be
-    linked: their profiles are held against each other in blocks of a hub's members, and the pairs that are left are
-    compared exactly as well. No link between different components is left out, and within one none more is sought."""
+    classes. Pairs whose sizes or profiles (counts of shingles by part of the domain) leave no room for the similarity
+    are passed over: first by short profiles, which can go with every pair, then by whole ones.
+    The others are compared exactly. Two rows that met at one hub and are not in one component yet may still be linked:
+    their short profiles are held against each other in blocks of a hub's members, and the pairs that are left go the
+    same way. No link between different components is left out, and within one none more is sought. Texts are
+    read again for the pairs that are compared, and stored nowhere."""
     rows = analyses.select(F.col(id).alias("id"), F.col(text).alias("text_content"))
     scheme = PartEnum(at_least, parts, left_out)
     sets = settle(_classes(rows, words))
@@ -286,19 +317,25 @@ def near_duplicates(
     met = settle(_stars(signed).filter("hub <> id").distinct())
     of_id, of_hub = cls.select("id", F.col("cls").alias("c")), cls.select(F.col("id").alias("hub"), F.col("cls").alias("h"))
     pairs = settle(met.join(of_id, "id").join(of_hub, "hub").select(F.col("h").alias("hub"), F.col("c").alias("id")).filter("hub <> id").distinct())
-    wanted = settle(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct())
-    nodes = settle(_with_profiles(rows.join(wanted, "id", "left_semi").dropDuplicates(["id"]), words))
+    forget(met)
+    # Profiles go with the sets. Only ids that come more than once are grouped, so others' profiles are not shuffled.
+    twice = settle(named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"))
+    one = F.min_by(F.struct("n_shingles", "fold", "profile"), "h").alias("r")
+    again = named.join(twice, "id", "left_semi").groupBy("id").agg(one).select("id", "r.*")
+    nodes = named.join(twice, "id", "left_anti").select("id", "n_shingles", "fold", "profile").unionByName(again).withColumnRenamed("n_shingles", "n")
     # One order for each pair: (a, b) and (b, a) are compared once.
     ordered = lambda p: p.select(F.least("hub", "id").alias("hub"), F.greatest("hub", "id").alias("id")).distinct()
     linked = F.col("common") * at_least.denominator >= F.col("either") * at_least.numerator
-    likely = settle(_likely(ordered(pairs), nodes, at_least))
-    first = settle(_compared(likely, nodes, words).filter(linked))
+    likely = settle(_likely(settle(_likely(ordered(pairs), nodes, at_least, "fold"), FOLD_ROWS), nodes, at_least, "profile"), PAIR_ROWS)
+    first = settle(_compared(likely, rows, words).filter(linked), PAIR_ROWS)
     known = settle(components(first, "hub", "id"))
 
     members = pairs.unionByName(pairs.select("hub", F.col("hub").alias("id"))).distinct()
     members = members.join(known.select(F.col("node").alias("id"), F.col("component").alias("part")), "id", "left").withColumn("part", F.coalesce("part", "id"))
     rest = settle(ordered(_around_hubs(settle(members), nodes, at_least)).join(likely, ["hub", "id"], "left_anti"))
-    second = settle(_compared(rest, nodes, words).filter(linked))
+    rest = settle(_likely(rest, nodes, at_least, "profile"), PAIR_ROWS)
+    forget(pairs)
+    second = settle(_compared(rest, rows, words).filter(linked), PAIR_ROWS)
     whole = components(first.unionByName(second), "hub", "id")
     groups = cls.join(whole.select(F.col("node").alias("cls"), F.col("component").alias("c")), "cls", "left").select("id", F.coalesce("c", "cls").alias("component_id"))
     return sets.select("id", "n_shingles").join(groups, "id", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))

@@ -44,6 +44,26 @@ def test_stages(spark, tmp_path):
         assert empty.count() == 0
 
 
+def test_repeated_rows_and_ids(spark):
+    """Rows that repeat id and text, ids with several texts, null ids, texts and sources."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"the word{i} of it" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "a"), (1, long.upper(), None), (2, long, "b"), (3, "the one and only of it", "a"), (3, "the other and the one more of it", "a"),
+            (3, "THE one and only of it", "b"), (4, "the other and the one more of it", None), (None, "the text without a name", "a"), (None, "the text without a name", "b"), (5, None, "a"), (5, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("doc_id", "text", "cast('en' as string) lang", "source", "length(text) n_chars")
+    df = df.select(*[df[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    got = corpus_pipeline.distinct_texts(spark, df, SF).collect()
+    assert got and sorted((r["doc_id"] or -1, fold(r["text"])) for r in got) == sorted([
+        (2, long), (3, "the one and only of it"), (4, "the other and the one more of it"), (-1, "the text without a name"), (5, "")])
+    near = spark.createDataFrame([(1, long), (1, long), (2, long + " more"), (7, "the end of it all and of us"), (7, "the end of it all and of us"), (None, long)], "doc_id bigint, text string")
+    near = near.selectExpr("doc_id", "text", "cast('en' as string) lang", "cast(null as string) source", "length(text) n_chars")
+    near = near.select(*[near[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    got = corpus_pipeline.distinct_enough(spark, near, SF).collect()
+    assert sorted(r["doc_id"] or -1 for r in got) == [-1, 1, 7]
+    mixed = corpus_pipeline.mixed(spark, near, SF).collect()
+    assert {r["doc_id"] for r in mixed} == {1, 2, 7, None}
+
+
 def test_languages_not_learned_go(spark):
     docs = spark.read.parquet(f"{SF}/../sf0.01/documents.parquet")
     foreign = ["Bugün hava çok güzel ve herkes çocuklarla oynamak için parka gidiyor. ", "Tänään on kaunis päivä ja kaikki menevät puistoon leikkimään lasten kanssa. ",
