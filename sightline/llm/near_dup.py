@@ -270,7 +270,8 @@ def _around_hubs(members: DataFrame, nodes: DataFrame, at_least: Fraction) -> Da
 
 def _compared(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """``hub, id, common, either``: sizes of intersection and union of the shingle sets of pairs of rows."""
-    texts = _one_text(texts.join(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct(), "id", "left_semi"))
+    # The ids have no size bound: they are never broadcast, so that the plan is one at every size.
+    texts = _one_text(texts.join(pairs.select(F.explode(F.array("hub", "id")).alias("id")).distinct().hint("merge"), "id", "left_semi"))
     a = texts.select(F.col("id").alias("hub"), F.col("text_content").alias("hub_text"))
     both = pairs.join(texts.select("id", "text_content"), "id").join(a, "hub").select("hub", "id", "hub_text", "text_content")
     kind = pairs.schema["id"].dataType.simpleString()
